@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, chat, packing, quality
 from .common import table
 
 
@@ -16,6 +16,24 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A conversation that holds the control strings of a template in its texts.
+_CONTROL_CHAT = """
+SELECT CAST(conv AS {conv}) AS conv_id, CAST(turn AS {turn}) AS turn, role, text
+FROM VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]') AS v(conv, turn, role, text)
+"""
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    types = {k: v for k, v in rows.dtypes}
+    more = spark.sql(_CONTROL_CHAT.format(conv=types["conv_id"], turn=types["turn"]))
+    return chat.digest(chat.format_chats(rows.unionByName(more)))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -26,6 +44,8 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_chat_formatting": op3_chat_formatting,
+        "op7_quality_rules": op7_quality_rules,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_bpe_encode_decode": op8_bpe_encode_decode,
     }
