@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, quality
+from . import bpe, chat, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -16,6 +17,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 #: A conversation that holds the control strings of a template in its texts.
 _CONTROL_CHAT = """
 SELECT CAST(conv AS {conv}) AS conv_id, CAST(turn AS {turn}) AS turn, role, text
@@ -34,6 +39,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def _held_out(doc_id: str):
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """The model of the rows that are not held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.train(docs, labels.where(~_held_out("doc_id")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", _held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -44,8 +65,10 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op3_chat_formatting": op3_chat_formatting,
         "op7_quality_rules": op7_quality_rules,
+        "op5_toxicity": op5_toxicity,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_bpe_encode_decode": op8_bpe_encode_decode,
     }

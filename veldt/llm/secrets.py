@@ -187,7 +187,7 @@ def learn_thresholds(found: DataFrame, rate: float) -> dict[int, int]:
     return thresholds({(r.length_class, r.step): r["count"] for r in each.collect()}, rate)
 
 
-def scan(docs: DataFrame, *, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, rate: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All spans of each text: doc_id, base_sha256, spans (array of start, kind, end, in order)."""
     found = cut(find(docs, id_col=id_col, text_col=text_col))
     least = learn_thresholds(found, rate)
@@ -210,7 +210,7 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *[count(k) for k in range(3)], "base_sha256", F.array_join(said, ",").alias("spans"), count(3))
 
 
-def redact(docs: DataFrame, *, rate: float = 0.01, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, *, rate: float = 0.001, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every found span replaced by ``mark``; all columns and rows stay.
 
     Texts are scanned twice, once for the thresholds and once to redact, rather than shuffled.
