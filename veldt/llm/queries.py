@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, quality, secrets, toxicity
+from . import bpe, chat, html_text, licenses, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -63,6 +63,15 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), with_ids=False)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = html_text.extract(table(spark, sf_dir, "pages"))
+    return made.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -71,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_bpe_encode_decode": op8_bpe_encode_decode,
+        "op9_license_scan": op9_license_scan,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
