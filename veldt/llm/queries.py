@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, licenses, packing, quality, secrets, toxicity
+from . import bpe, chat, embeddings, html_text, licenses, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def _held_out(doc_id: str):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op3_chat_formatting": op3_chat_formatting,
         "op7_quality_rules": op7_quality_rules,
+        "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_bpe_encode_decode": op8_bpe_encode_decode,
