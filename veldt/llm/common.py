@@ -74,6 +74,35 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t if t is not None else "" for t in column(batch, name)]
 
 
+def changes(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
+    """Whether each row but the first differs from the one before in any of the columns."""
+    out = np.zeros(max(table.num_rows - 1, 0), bool)
+    for name in names:
+        v = table.column(name).to_numpy()
+        out |= v[1:] != v[:-1]
+    return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Sorted batches, put together so that no table ends inside a group of equal ``names``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and changes(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]), names)[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        cuts = np.flatnonzero(changes(pa.Table.from_batches([batch]), names))
+        if len(cuts):
+            last = int(cuts[-1]) + 1
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole word."""
     h = h ^ (h >> np.uint64(33))

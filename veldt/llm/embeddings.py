@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import changes, cut, whole_groups
 from .components import components
 
 BLOCK = 256
+GROUP = ("width", "list", "left", "right")
 
 
 def fit_pivots(sample: np.ndarray, most: int, alike: float = 0.7) -> np.ndarray:
@@ -132,7 +133,7 @@ def _verify(groups: DataFrame, threshold: float, shared: int) -> DataFrame:
     id_type = dict(groups.dtypes)["rep"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches):
+        for table in whole_groups(batches, GROUP):
             ids, links, roots = [], [], []
             rep = table.column("rep").to_numpy()
             number = table.column("n").to_numpy()
@@ -141,7 +142,7 @@ def _verify(groups: DataFrame, threshold: float, shared: int) -> DataFrame:
             flat, width = _list_values(table, "embedding").astype(np.float64), table.column("width").to_numpy()
             ends = np.cumsum(width)
             lists = table.column("list").to_numpy()
-            cuts = np.flatnonzero(np.append(True, _changed(table))).tolist() + [len(rep)]
+            cuts = np.flatnonzero(np.append(True, changes(table, GROUP))).tolist() + [len(rep)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if b - a < 2:
                     continue
@@ -178,14 +179,6 @@ def _list_values(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
-def _changed(table: pa.Table) -> np.ndarray:
-    out = np.zeros(max(table.num_rows - 1, 0), bool)
-    for name in ("width", "list", "left", "right"):
-        v = table.column(name).to_numpy()
-        out |= v[1:] != v[:-1]
-    return out
-
-
 def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """The least place that each place is connected to by the pairs."""
     root = np.arange(n)
@@ -200,27 +193,6 @@ def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         root = then
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches put together so that none ends inside a group."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cuts = np.flatnonzero(_changed(pa.Table.from_batches([batch])))
-        joined = held and _changed(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]))[0]
-        if joined:
-            yield pa.Table.from_batches(held)
-            held = []
-        if len(cuts):
-            last = int(cuts[-1]) + 1
-            yield pa.Table.from_batches([*held, batch.slice(0, last)])
-            held = [batch.slice(last)]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def near_duplicates(
     vectors: DataFrame,
     *,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, html_text, licenses, packing, quality, secrets, toxicity
+from . import bpe, chat, embeddings, html_text, licenses, minhash, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: A conversation that holds the control strings of a template in its texts.
 _CONTROL_CHAT = """
 SELECT CAST(conv AS {conv}) AS conv_id, CAST(turn AS {turn}) AS turn, role, text
@@ -79,6 +83,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_chat_formatting": op3_chat_formatting,
         "op7_quality_rules": op7_quality_rules,
         "op4_embedding_near_dedup": op4_embedding_near_dedup,
