@@ -11,7 +11,7 @@ from . import bpe, chat, embeddings, html_text, licenses, minhash, packing, qual
 from .common import table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -64,11 +64,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_texts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), with_ids=False)
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), with_ids=False)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
