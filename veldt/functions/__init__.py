@@ -1 +1 @@
-"""Signed-event analytics on Spark."""
+"""Column expressions and the signature check."""

@@ -1 +1 @@
-"""Signed-event analytics on Spark."""
+"""Operators of the event log: ingest, dedup, tags, index, error statistics."""

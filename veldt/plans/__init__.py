@@ -1 +1 @@
-"""Signed-event analytics on Spark."""
+"""Analytical views and the registered queries."""

@@ -1 +1 @@
-"""Signed-event analytics on Spark."""
+"""Sources and sinks: raw lines, length-delimited protobuf files, the Parquet store."""

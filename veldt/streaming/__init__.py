@@ -1 +1 @@
-"""Signed-event analytics on Spark."""
+"""Structured Streaming over the same operators as the batch path."""
