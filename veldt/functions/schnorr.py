@@ -12,6 +12,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed values of the curve secp256k1: field, group order, generator.
 P = 0xFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFEFFFFFC2F
@@ -161,7 +162,7 @@ def sign(message: bytes, secret: int, extra: bytes = bytes(32)) -> tuple[bytes,
     return key, r + ((k + e * d) % N).to_bytes(32, "big")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _check_udf(hashes: pd.Series, keys: pd.Series, signatures: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else check(h, k, s) for h, k, s in zip(hashes, keys, signatures, strict=True)], dtype=object)
 
