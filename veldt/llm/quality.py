@@ -157,11 +157,11 @@ def clean(docs: DataFrame, *, max_docs: int = 50, least_share: float = 0.3, id_c
     """The kept documents with all their columns, their removed lines gone from the text."""
     profiles = cut(profile(docs, id_col=id_col, text_col=text_col, host_col=host_col))
     verdict, removed = _verdict(profiles, max_docs, least_share)
-    gone = removed.groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    kept = verdict.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    marked = kept.join(gone, F.col("_id").eqNullSafe(F.col("doc_id")), "left").select("_id", "_gone")
+    gone = removed.groupBy("doc_id").agg(F.collect_set("line").alias("__veldt_gone"))
+    kept = verdict.where("kept").select(F.col("doc_id").alias("__veldt_id")).distinct()
+    marked = kept.join(gone, F.col("__veldt_id").eqNullSafe(F.col("doc_id")), "left").select("__veldt_id", "__veldt_gone")
     stay = F.filter(
-        F.split(F.col(text_col), "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("_gone"), F.xxhash64(_normal(x))))
+        F.split(F.col(text_col), "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("__veldt_gone"), F.xxhash64(_normal(x))))
     )
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
-    return docs.join(marked, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn(text_col, text).select(*docs.columns)
+    text = F.when(F.col("__veldt_gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
+    return docs.join(marked, F.col(id_col).eqNullSafe(F.col("__veldt_id"))).withColumn(text_col, text).select(*docs.columns)
