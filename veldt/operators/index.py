@@ -40,7 +40,7 @@ class EventIndex:
 
     def _write(self, rows: DataFrame, mode: str) -> None:
         ordered = rows.sortWithinPartitions("kind", "created_at")
-        writer = ordered.write.mode(mode)
+        writer = ordered.write.mode(mode).option("parquet.bloom.filter.adaptive.enabled", "true")
         for c in ("id", "pubkey"):
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.parquet(self.path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import event_date
+from ..functions.expr import byte_length, event_date, event_json, readable_size
 from ..operators.dedup import latest_wins
 from ..schema import EVENT_COLUMNS
 
@@ -35,6 +35,8 @@ class EventStore:
         rows = rows.select(*EVENT_COLUMNS, "indexed_at", "relay_source", event_date(F.col("created_at")).alias("event_date"))
         dealt = rows.hint("rebalance", "event_date").sortWithinPartitions("event_date", "created_at", "kind", "pubkey")
         writer = dealt.write.mode(mode).partitionBy("event_date").option("maxRecordsPerFile", per_file)
+        # Filters as large as a row group's ids need, up to 1 MB.
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
         writer.option("parquet.bloom.filter.enabled#pubkey", "true").option("parquet.bloom.filter.enabled#id", "true").parquet(self.path)
 
     def read(self, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -69,6 +71,25 @@ class EventStore:
         """The table's days with their rows; read from Parquet footers."""
         return self.read().groupBy("event_date").agg(F.count("*").alias("events")).orderBy("event_date")
 
+    def parts(self) -> DataFrame:
+        """Files and bytes of each day, as the table's metadata."""
+        files = self.read().select("event_date", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct()
+        by_day = files.groupBy("event_date").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+        return by_day.withColumn("readable", readable_size(F.col("bytes"))).orderBy("event_date")
+
+    def compression(self) -> DataFrame:
+        """One row: bytes of the events as JSON lines, bytes of the table, and their ratio."""
+        json_bytes = self.read().agg(F.sum(byte_length(event_json()) + 1).alias("json_bytes"))
+        stored = self.parts().agg(F.sum("bytes").alias("stored_bytes"))
+        both = json_bytes.join(stored)  # one row each
+        return both.withColumn("ratio", F.round(F.col("json_bytes") / F.nullif("stored_bytes", F.lit(0)), 2))
+
+    def analyse(self, name: str) -> None:
+        """Register the table in the catalog under a name and compute its statistics for the optimizer."""
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}` USING parquet LOCATION '{self.path}'")
+        self.spark.sql(f"MSCK REPAIR TABLE `{name}`")
+        self.spark.sql(f"ANALYZE TABLE `{name}` COMPUTE STATISTICS")
+
     def drop_days_before(self, day: str) -> list[str]:
         """Delete the partitions of earlier days; returns their names."""
         fs, path = self._fs()
