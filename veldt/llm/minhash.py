@@ -13,12 +13,14 @@ equal shingles are one from the start. Then, round by round, bucket members are
 
 1. every member of a bucket with its first member (least id);
 2. where a bucket still holds more than one component: members of the minor components with the
-   member of each other component that their samples say is nearest;
-3. all remaining pairs of the bucket across components whose samples agree in at least ``AGREE``.
+   member of each other component that their samples say is nearest, if near enough;
+3. all remaining pairs of the bucket across components, unless samples rule them out: the texts that
+   have a partner by ``AGREE`` of their samples get ``WIDE`` samples, and pairs that agree in
+   ``WIDE_AGREE`` of those are compared.
 
 Buckets are compared in blocks, so no task gathers one; pairs inside a component are never made, so a
 group of n near copies costs about n comparisons; no bucket is capped. At a similarity of 0.8 a pair
-misses all bands with a chance of 2e-4, and the sample filter of rounds 2 and 3 with 2e-5.
+misses all bands with a chance of 2e-4, and is ruled out by samples in round 3 with 5e-5.
 
 Result: one row per row: doc_id, class_id (least id of its group) and kept (doc_id = class_id).
 Null texts and texts without words are groups of one. Rows that repeat an id share its group if their
@@ -41,7 +43,8 @@ from .shingles import Shingles
 CELL_BITS = 18
 DAMPING = 0.03
 SAMPLES, ROWS = 64, 4
-AGREE = 38
+AGREE, NEAR_AGREE = 38, 46
+WIDE, WIDE_AGREE = 512, 374
 BLOCK = 512
 GROUP = ("bucket", "i", "j")
 
@@ -52,7 +55,8 @@ _STEP = _draw.gamma(2, 1, _TABLE).astype(np.float32)
 _HEIGHT = np.log(_draw.gamma(2, 1, _TABLE)).astype(np.float32)
 _SHIFT = _draw.random(_TABLE).astype(np.float32)
 _FLAT = (_STEP[:, None] * (_SHIFT[None, :64] - 1)).astype(np.float32)
-_KEYS = _draw.integers(1, 2**63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
+_KEYS = _draw.integers(1, 2**63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = _draw.integers(1, 2**63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def count_cells(docs: DataFrame, size: int) -> DataFrame:
@@ -84,15 +88,15 @@ def weights(s: Shingles, idf: np.ndarray) -> np.ndarray:
     return s.counts * (idf[(s.hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)] / 100)
 
 
-def sample(s: Shingles, idf: np.ndarray) -> np.ndarray:
-    """The samples of each text that has shingles, 32 bits each: (texts, SAMPLES)."""
+def sample(s: Shingles, idf: np.ndarray, count: int = SAMPLES) -> np.ndarray:
+    """The samples of each text that has shingles, 32 bits each: (texts, count)."""
     log_w = np.log(weights(s, idf)).astype(np.float32)
     heavy = np.flatnonzero(log_w)
     firsts = np.unique(s.bounds[:-1][np.diff(s.bounds) > 0])
-    out = np.empty((len(firsts), SAMPLES), np.int32)
+    out = np.empty((len(firsts), count), np.int32)
     log_w = log_w[heavy]
-    for k in range(SAMPLES):
-        h = (s.hashes ^ _KEYS[k]) * _KEYS[-1 - k]
+    for k in range(count):
+        h = (s.hashes ^ _KEYS[k]) * _FACTORS[k]
         h ^= h >> np.uint64(29)
         step = (h >> np.uint64(52)).astype(np.intp)
         shift = ((h >> np.uint64(46)) & np.uint64(63)).astype(np.intp)
@@ -175,60 +179,84 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
     return both.mapInArrow(run, f"u {id_type}, v {id_type}, similarity double")
 
 
-def _compare_blocks(rows: DataFrame, best_only: bool) -> DataFrame:
-    """u, v: pairs across components whose samples agree, of a block of members with one of minor members."""
+def wide_samples(texts: DataFrame, idf: np.ndarray, size: int) -> DataFrame:
+    """rep and WIDE samples of texts that have shingles."""
+    id_type = dict(texts.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = texts_of(batch, "text")
+            for a, b in chunks(own):
+                made = sample(Shingles(own[a:b], size), idf, WIDE)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * WIDE), pa.array(made.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), flat], ["rep", "samples"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, f"rep {id_type}, samples array<int>")
+
+
+def _compare_blocks(rows: DataFrame, agree_in: int, want: str) -> DataFrame:
+    """Pairs across components whose samples agree, of a block of members with one of minor members.
+
+    ``want`` is all (u, v of each pair), best (only the nearest member of each other component for
+    each minor member) or who (the ids that have a partner, as u).
+    """
     id_type = dict(rows.dtypes)["rep"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, GROUP):
             rep, comp, main, lead = (table.column(k).to_numpy() for k in ("rep", "comp", "main", "lead"))
             minor = table.column("minor").to_numpy(zero_copy_only=False).astype(bool)
-            samples = table.column("samples").combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
+            samples = table.column("samples").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
             cuts = np.flatnonzero(np.append(True, changes(table, GROUP))).tolist() + [len(rep)]
             us, vs = [], []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 members, minors = np.flatnonzero(~minor[a:b]) + a, np.flatnonzero(minor[a:b]) + a
-                for at in range(0, len(minors), 64):
-                    own = minors[at : at + 64]
-                    if not len(members):
-                        break
+                for at in range(0, len(minors) if len(members) else 0, 32):
+                    own = minors[at : at + 32]
                     agree = (samples[own][:, None, :] == samples[members][None, :, :]).sum(axis=2)
-                    open_ = (agree >= AGREE) & (comp[own][:, None] != comp[members][None, :])
+                    open_ = (agree >= agree_in) & (comp[own][:, None] != comp[members][None, :])
                     # Pairs of minors once; pairs with the first member were compared before.
                     open_ &= (comp[members] == main[a])[None, :] | (rep[members][None, :] < rep[own][:, None])
                     open_ &= (rep[members] != lead[a])[None, :] & (rep[own] != lead[a])[:, None]
                     i, j = np.nonzero(open_)
-                    if best_only and len(i):
+                    if want == "best" and len(i):
                         order = np.lexsort((rep[members][j], -agree[i, j], comp[members][j], i))
                         i, j = i[order], j[order]
                         new = np.append(True, (i[1:] != i[:-1]) | (comp[members][j][1:] != comp[members][j][:-1]))
                         i, j = i[new], j[new]
-                    us.append(rep[members][j])
-                    vs.append(rep[own][i])
+                    if want == "who":
+                        us += [rep[members][np.unique(j)], rep[own][np.unique(i)]]
+                    else:
+                        us.append(rep[members][j])
+                        vs.append(rep[own][i])
             if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+                told = [pa.array(np.concatenate(x)) for x in ((us,) if want == "who" else (us, vs))]
+                yield pa.RecordBatch.from_arrays(told, ["u", "v"][: len(told)])
 
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "minor")
-    return dealt.mapInArrow(run, f"u {id_type}, v {id_type}").distinct()
+    return dealt.mapInArrow(run, f"u {id_type}" + (f", v {id_type}" if want != "who" else "")).distinct()
+
 
+def open_members(posts: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, dealt into pairs of blocks.
 
-def open_pairs(posts: DataFrame, reps: DataFrame, found: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs to compare in buckets that hold several components; ``posts`` has bucket, rep, lead, n."""
+    ``posts`` has bucket, rep, lead, n; ``found`` has node, component. Buckets of two were compared.
+    """
     comp = F.coalesce("component", "rep").alias("comp")
     members = posts.where("n > 2").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "lead", comp)
     per = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     state = per.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("n"), F.count("*").alias("comps")).where("comps > 1")
     state = state.select("bucket", F.col("m.comp").alias("main"), F.ceil(F.col("n") / BLOCK).alias("nj"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK).alias("ni"))
-    here = members.join(state, "bucket").join(reps.select("rep", "samples"), "rep")
+    here = members.join(state, "bucket")
 
     def spread(own: str, other: str, minor: bool) -> DataFrame:
         block = F.pmod(F.xxhash64("rep"), F.col(f"n{own}")).alias(own)
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n{other}") - 1)).alias(other)
         rows = here.where(F.col("comp") != F.col("main")) if minor else here
-        placed = rows.select("bucket", "rep", "comp", "main", "lead", "samples", block, every)
-        return placed.select("bucket", "i", "j", F.lit(int(minor)).alias("minor"), "rep", "comp", "main", "lead", "samples")
+        placed = rows.select("bucket", "rep", "comp", "main", "lead", block, every)
+        return placed.select("bucket", "i", "j", F.lit(int(minor)).alias("minor"), "rep", "comp", "main", "lead")
 
-    return _compare_blocks(spread("j", "i", False).union(spread("i", "j", True)), best_only)
+    return spread("j", "i", False).union(spread("i", "j", True))
 
 
 def near_duplicates(
@@ -253,10 +281,17 @@ def near_duplicates(
     pairs = posts.where("rep != lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
     links = cut(verify(pairs, texts, idf, threshold, size))
     found = cut(components(links))
-    for best_only in (True, False):
-        more = cut(open_pairs(posts, reps, found, best_only))
+    for last in (False, True):
+        members = cut(open_members(posts, found))
+        sampled = members.join(reps, "rep")
+        if last:
+            who = _compare_blocks(sampled, AGREE, "who").select(F.col("u").alias("doc_id"))
+            wide = cut(wide_samples(texts.join(who, "doc_id", "left_semi"), idf, size))
+            more = cut(_compare_blocks(members.join(wide, "rep"), WIDE_AGREE, "all"))
+        else:
+            more = cut(_compare_blocks(sampled, NEAR_AGREE, "best"))
         if more.isEmpty():
-            break
+            continue
         new = cut(verify(more, texts, idf, threshold, size))
         if not new.isEmpty():
             links = links.union(new)
@@ -273,8 +308,8 @@ def near_duplicates(
 def keep_one(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that lead their group, all columns; of rows that repeat an id one stays."""
     found = near_duplicates(docs, threshold=threshold, size=size, id_col=id_col, text_col=text_col)
-    leaders = found.where("kept").select(F.col("doc_id").alias("_leader")).distinct()
-    joined = docs.join(leaders, F.col(id_col).eqNullSafe(F.col("_leader")))
+    leaders = found.where("kept").select(F.col("doc_id").alias("__veldt_leader")).distinct()
+    joined = docs.join(leaders, F.col(id_col).eqNullSafe(F.col("__veldt_leader")))
     # The join has dealt and sorted the rows by id already.
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(0)))
-    return joined.withColumn("_number", first).where("_number = 1").select(*docs.columns)
+    return joined.withColumn("__veldt_number", first).where("__veldt_number = 1").select(*docs.columns)
