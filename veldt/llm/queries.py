@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, html_text, licenses, minhash, packing, quality, secrets, toxicity
+from . import bpe, chat, embeddings, html_text, licenses, minhash, oracles, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -96,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
