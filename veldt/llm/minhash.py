@@ -2,7 +2,7 @@
 
 A shingle (five words) weighs its number in the text times an inverse document frequency. Document
 frequencies of all shingles of all texts are counted in a fixed number of hashed cells; a cell that
-stands above the average load by a factor f weighs 1 / (1 + DAMPING ln f). The cells bound what the
+stands above the average load (or ``LEAST_COMMON``) by a factor f weighs 1 / (1 + DAMPING ln f). The cells bound what the
 driver and the tasks hold whatever the corpus, and f is a relative frequency, so weights mean the
 same at every size. The damping is light: it takes passages that many documents share out of the
 samples, without setting copies in a large group of near copies apart.
@@ -42,6 +42,8 @@ from .shingles import Shingles
 
 CELL_BITS = 18
 DAMPING = 0.03
+#: A cell below so many documents is never common.
+LEAST_COMMON = 64
 SAMPLES, ROWS = 64, 4
 AGREE, NEAR_AGREE = 38, 46
 WIDE, WIDE_AGREE = 512, 374
@@ -80,7 +82,7 @@ def idf_of(counted: DataFrame) -> np.ndarray:
     n = np.zeros(1 << CELL_BITS)
     for batch in counted.toArrow().to_batches():
         n[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    over = np.maximum(n / max(n.mean(), 1.0), 1.0)
+    over = np.maximum(n / max(n.mean(), LEAST_COMMON), 1.0)
     return np.round(100 / (1 + DAMPING * np.log(over))).astype(np.uint8)
 
 
@@ -197,14 +199,15 @@ def wide_samples(texts: DataFrame, idf: np.ndarray, size: int) -> DataFrame:
 def _compare_blocks(rows: DataFrame, agree_in: int, want: str) -> DataFrame:
     """Pairs across components whose samples agree, of a block of members with one of minor members.
 
-    ``want`` is all (u, v of each pair), best (only the nearest member of each other component for
-    each minor member) or who (the ids that have a partner, as u).
+    ``want`` is all (u, v of each pair), best (for each minor member the nearest one of the main
+    component and the nearest one of the others) or who (the ids that have a partner, as u). A pair
+    that shares several buckets is looked at in that of its first band only.
     """
     id_type = dict(rows.dtypes)["rep"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, GROUP):
-            rep, comp, main, lead = (table.column(k).to_numpy() for k in ("rep", "comp", "main", "lead"))
+            rep, comp, main, lead, band = (table.column(k).to_numpy() for k in ("rep", "comp", "main", "lead", "band"))
             minor = table.column("minor").to_numpy(zero_copy_only=False).astype(bool)
             samples = table.column("samples").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
             cuts = np.flatnonzero(np.append(True, changes(table, GROUP))).tolist() + [len(rep)]
@@ -213,16 +216,20 @@ def _compare_blocks(rows: DataFrame, agree_in: int, want: str) -> DataFrame:
                 members, minors = np.flatnonzero(~minor[a:b]) + a, np.flatnonzero(minor[a:b]) + a
                 for at in range(0, len(minors) if len(members) else 0, 32):
                     own = minors[at : at + 32]
-                    agree = (samples[own][:, None, :] == samples[members][None, :, :]).sum(axis=2)
+                    equal = samples[own][:, None, :] == samples[members][None, :, :]
+                    agree = equal.sum(axis=2)
                     open_ = (agree >= agree_in) & (comp[own][:, None] != comp[members][None, :])
                     # Pairs of minors once; pairs with the first member were compared before.
                     open_ &= (comp[members] == main[a])[None, :] | (rep[members][None, :] < rep[own][:, None])
                     open_ &= (rep[members] != lead[a])[None, :] & (rep[own] != lead[a])[:, None]
                     i, j = np.nonzero(open_)
+                    first = equal[i, j, :SAMPLES].reshape(-1, SAMPLES // ROWS, ROWS).all(axis=2).argmax(axis=1) == band[a]
+                    i, j = i[first], j[first]
                     if want == "best" and len(i):
-                        order = np.lexsort((rep[members][j], -agree[i, j], comp[members][j], i))
-                        i, j = i[order], j[order]
-                        new = np.append(True, (i[1:] != i[:-1]) | (comp[members][j][1:] != comp[members][j][:-1]))
+                        in_main = comp[members][j] == main[a]
+                        order = np.lexsort((rep[members][j], -agree[i, j], in_main, i))
+                        i, j, in_main = i[order], j[order], in_main[order]
+                        new = np.append(True, (i[1:] != i[:-1]) | (in_main[1:] != in_main[:-1]))
                         i, j = i[new], j[new]
                     if want == "who":
                         us += [rep[members][np.unique(j)], rep[own][np.unique(i)]]
@@ -240,10 +247,10 @@ def _compare_blocks(rows: DataFrame, agree_in: int, want: str) -> DataFrame:
 def open_members(posts: DataFrame, found: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, dealt into pairs of blocks.
 
-    ``posts`` has bucket, rep, lead, n; ``found`` has node, component. Buckets of two were compared.
+    ``posts`` has bucket, band, rep, lead, n; ``found`` has node, component. Buckets of two were compared.
     """
     comp = F.coalesce("component", "rep").alias("comp")
-    members = posts.where("n > 2").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "lead", comp)
+    members = posts.where("n > 2").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", "lead", comp)
     per = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     state = per.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("n"), F.count("*").alias("comps")).where("comps > 1")
     state = state.select("bucket", F.col("m.comp").alias("main"), F.ceil(F.col("n") / BLOCK).alias("nj"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK).alias("ni"))
@@ -253,8 +260,8 @@ def open_members(posts: DataFrame, found: DataFrame) -> DataFrame:
         block = F.pmod(F.xxhash64("rep"), F.col(f"n{own}")).alias(own)
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n{other}") - 1)).alias(other)
         rows = here.where(F.col("comp") != F.col("main")) if minor else here
-        placed = rows.select("bucket", "rep", "comp", "main", "lead", block, every)
-        return placed.select("bucket", "i", "j", F.lit(int(minor)).alias("minor"), "rep", "comp", "main", "lead")
+        placed = rows.select("bucket", "band", "rep", "comp", "main", "lead", block, every)
+        return placed.select("bucket", "i", "j", F.lit(int(minor)).alias("minor"), "band", "rep", "comp", "main", "lead")
 
     return spread("j", "i", False).union(spread("i", "j", True))
 
@@ -272,9 +279,9 @@ def near_duplicates(
     reps = cut(signed.join(classes, [*same, signed["doc_id"] == classes["rep"]]).select("rep", "samples").dropDuplicates(["rep"]))
 
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("samples", F.lit(ROWS * b + k)) for k in range(ROWS)]) for b in range(SAMPLES // ROWS)])
-    posted = reps.select("rep", F.explode(bands).alias("bucket"))
+    posted = reps.select("rep", F.posexplode(bands).alias("band", "bucket"))
     shared = posted.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    posts = cut(posted.join(shared, "bucket").select("bucket", "rep", "lead", "n"))
+    posts = cut(posted.join(shared, "bucket").select("bucket", "band", "rep", "lead", "n"))
     involved = posts.select(F.col("rep").alias("doc_id")).distinct()
     texts = cut(rows.join(involved, "doc_id", "left_semi").where("text is not null").dropDuplicates(["doc_id"]))
 
