@@ -31,12 +31,16 @@ def byte_length(c: Column) -> Column:
 
 
 def json_string(c: Column) -> Column:
-    """A JSON string literal: quote, backslash and the 32 control characters escaped, in lower-case hex."""
-    out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    """A JSON string literal: quote, backslash and the 32 control characters escaped, in lower-case hex.
+
+    Control characters are rare: only strings that hold one go through their replacements.
+    """
+    plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+    out = plain
     for code in range(32):
         out = F.replace(out, F.lit(chr(code)), F.lit(short.get(code, f"\\u{code:04x}")))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    return F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x1f]"), out).otherwise(plain), F.lit('"'))
 
 
 def json_tags(tags: Column) -> Column:
