@@ -137,6 +137,24 @@ def test_near_texts(spark):
     assert sorted(str(r.doc_id) for r in minhash.keep_one(repeats).collect()) == sorted({str(true[0]), str(true[1]), "None"})
 
 
+def test_different_texts_under_one_id(spark):
+    """Rows are told apart by id and text: no clean text goes because its id, null too, stands elsewhere."""
+    r = random.Random(12)
+    words = lambda n: ["".join(r.choice(string.ascii_lowercase) for _ in range(5)) for _ in range(n)]
+    texts = [words(60) for _ in range(14)]
+    text = lambda i: " ".join(texts[i])
+    near = " ".join([*texts[0][:-1], "other"])
+    rows = [(None, text(i)) for i in range(6)] + [(None, text(0)), (None, near)] + [(5, text(i)) for i in range(6, 10)] + [(5, text(6))]
+    rows += [(7, text(10)), (7, text(11)), (6, " ".join([*texts[11][:-1], "other"])), (None, text(10)), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one(df).collect()]
+    assert len(kept) == len(set(kept))
+    assert sum(k in kept for k in [(None, text(0)), (None, near)]) == 1
+    assert set(kept) - {(None, text(0)), (None, near)} == {*[(None, text(i)) for i in range(1, 6)], *[(5, text(i)) for i in range(6, 10)], (7, text(10)), rows[15], (None, None)}
+    got = minhash.near_duplicates(df).collect()
+    assert len(got) == len(rows) and sorted(r.class_id for r in got if r.doc_id == 7) == [6, 7]
+
+
 def test_buckets_of_many_near_copies(spark, monkeypatch):
     """A group whose members are often not alike pairwise, in blocks of a few."""
     monkeypatch.setattr(minhash, "BLOCK", 8)

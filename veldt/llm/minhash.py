@@ -22,9 +22,12 @@ Buckets are compared in blocks, so no task gathers one; pairs inside a component
 group of n near copies costs about n comparisons; no bucket is capped. At a similarity of 0.8 a pair
 misses all bands with a chance of 2e-4, and is ruled out by samples in round 3 with 5e-5.
 
-Result: one row per row: doc_id, class_id (least id of its group) and kept (doc_id = class_id).
-Null texts and texts without words are groups of one. Rows that repeat an id share its group if their
-texts do. A null id never leads a group of others. Other columns are not read; an empty table gives no rows.
+Result: one row per row: doc_id, class_id (least id of its group) and kept (the group's leader).
+Texts are told apart by a hash of id and text, so different texts under one id, null too, are compared
+as any others. The leader is the text of the least id (of several texts of it, the least hash); a null
+id leads only groups of null ids, whose class_id is null. Null texts and texts without words are
+groups of one. Rows that repeat id and text are alike in all. Other columns are not read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import changes, chunks, cut, drop_cut, mix64, texts_of, whole_groups
@@ -119,7 +122,7 @@ def sample(s: Shingles, idf: np.ndarray, count: int = SAMPLES) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, size: int) -> DataFrame:
-    """doc_id, k1, k2 (a hash of all shingles; null without words), samples. One narrow pass."""
+    """doc_id, uid, k1, k2 (a hash of all shingles; null without words), samples. One narrow pass."""
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +142,10 @@ def signatures(docs: DataFrame, idf: np.ndarray, size: int) -> DataFrame:
                         key[some] = np.add.reduceat(each, firsts).view(np.int64)
                     keys.append(pa.array(key, mask=~some))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * SAMPLES), pa.array(lists.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *keys, flat], ["doc_id", "k1", "k2", "samples"])
+                own = [c.slice(a, b - a) for c in (batch.column(0), batch.column(1))]
+                yield pa.RecordBatch.from_arrays([*own, *keys, flat], ["doc_id", "uid", "k1", "k2", "samples"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, k1 bigint, k2 bigint, samples array<int>")
+    return docs.select("doc_id", "uid", "text").mapInArrow(run, f"doc_id {id_type}, uid bigint, k1 bigint, k2 bigint, samples array<int>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float, size: int) -> DataFrame:
@@ -266,24 +270,29 @@ def open_members(posts: DataFrame, found: DataFrame) -> DataFrame:
     return spread("j", "i", False).union(spread("i", "j", True))
 
 
-def near_duplicates(
-    docs: DataFrame, *, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """doc_id, class_id, kept for each row of ``docs``."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _uid(id_col: str, text_col: str) -> Column:
+    """What tells texts apart: a hash of id and text."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
+
+
+def _groups(docs: DataFrame, threshold: float, size: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, uid, class_id, kept for each row of ``docs``. Inside, a text goes by its ``uid``."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), _uid(id_col, text_col).alias("uid"), F.col(text_col).alias("text"))
     idf = idf_of(count_cells(rows, size))
     signed = cut(signatures(rows, idf, size))
     key = ["k1", "k2"]
-    classes = signed.where("k1 is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")).where("rep is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
+    classes = signed.where("k1 is not null").groupBy(*key).agg(F.min("uid").alias("rep"), first)
     same = [signed[k] == classes[k] for k in key]
-    reps = cut(signed.join(classes, [*same, signed["doc_id"] == classes["rep"]]).select("rep", "samples").dropDuplicates(["rep"]))
+    reps = cut(signed.join(classes, [*same, signed["uid"] == classes["rep"]]).select("rep", "samples").dropDuplicates(["rep"]))
 
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("samples", F.lit(ROWS * b + k)) for k in range(ROWS)]) for b in range(SAMPLES // ROWS)])
     posted = reps.select("rep", F.posexplode(bands).alias("band", "bucket"))
     shared = posted.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1")
     posts = cut(posted.join(shared, "bucket").select("bucket", "band", "rep", "lead", "n"))
     involved = posts.select(F.col("rep").alias("doc_id")).distinct()
-    texts = cut(rows.join(involved, "doc_id", "left_semi").where("text is not null").dropDuplicates(["doc_id"]))
+    named = rows.where("text is not null").select(F.col("uid").alias("doc_id"), "text")
+    texts = cut(named.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     pairs = posts.where("rep != lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
     links = cut(verify(pairs, texts, idf, threshold, size))
@@ -304,19 +313,26 @@ def near_duplicates(
             links = links.union(new)
             found = cut(components(links))
     drop_cut(texts)
-    label = classes.join(found, F.col("rep") == F.col("node"), "left").select(
-        F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("component", "rep").alias("_class")
-    )
+    label = classes.join(found, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("comp"), "first")
+    leads = label.groupBy(F.col("comp").alias("_comp")).agg(F.min("first").alias("_lead"))
+    label = label.join(leads, F.col("comp") == F.col("_comp")).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_lead")
     out = signed.join(label, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
-    own = F.coalesce("_class", "doc_id")
-    return out.select("doc_id", own.alias("class_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    own = F.when(F.col("_lead").isNull(), F.col("doc_id")).otherwise(F.col("_lead.doc_id"))
+    return out.select("doc_id", "uid", own.alias("class_id"), (F.col("uid") == F.coalesce("_lead.uid", "uid")).alias("kept"))
+
+
+def near_duplicates(
+    docs: DataFrame, *, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, class_id, kept for each row of ``docs``."""
+    return _groups(docs, threshold, size, id_col, text_col).select("doc_id", "class_id", "kept")
 
 
 def keep_one(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that lead their group, all columns; of rows that repeat an id one stays."""
-    found = near_duplicates(docs, threshold=threshold, size=size, id_col=id_col, text_col=text_col)
-    leaders = found.where("kept").select(F.col("doc_id").alias("__veldt_leader")).distinct()
-    joined = docs.join(leaders, F.col(id_col).eqNullSafe(F.col("__veldt_leader")))
-    # The join has dealt and sorted the rows by id already.
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(0)))
+    """The documents that lead their group, all columns; of rows that repeat id and text one stays."""
+    found = _groups(docs, threshold, size, id_col, text_col)
+    leaders = found.where("kept").select(F.col("uid").alias("__veldt_leader")).distinct()
+    joined = docs.withColumn("__veldt_uid", _uid(id_col, text_col)).join(leaders, F.col("__veldt_uid") == F.col("__veldt_leader"))
+    # The join has dealt and sorted the rows by uid already.
+    first = F.row_number().over(Window.partitionBy("__veldt_uid").orderBy(F.lit(0)))
     return joined.withColumn("__veldt_number", first).where("__veldt_number = 1").select(*docs.columns)
