@@ -249,6 +249,33 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_published_licenses(spark):
+    """The published forms have blank lines between their paragraphs; other paragraphs and long texts stand around them."""
+    cut_at = {"MIT": ("The above copyright",), "BSD-2-Clause": ("1. Redist", "2. Redist")}
+    whole = {}
+    for name, marks in cut_at.items():
+        text = next(t for n, t in licenses.TEMPLATES if n == name and len(t) > 200)
+        for mark in marks:
+            text = text.replace(" " + mark, "\n\n" + mark)
+        whole[name] = text
+        assert text.count("\n\n") == len(marks)
+    r = random.Random(8)
+    filler = "\n\n".join(" ".join(r.choice(["license", "alpha", "beta", "gamma", "warranty", "delta"]) for _ in range(30)) for _ in range(400))
+    texts, wanted = [], []
+    for name, text in whole.items():
+        for lead, tail in (("", ""), (f"{name} License\n\nCopyright (c) 2020 A\n\n", '\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY.'), (filler + "\n\n", "\n\n" + filler)):
+            texts.append(lead + text + tail)
+            wanted.append(f"{name}:{len(lead)}:{len(lead + text.rstrip('.'))}")
+        commented = "\n".join(" *      " + x for x in text.replace(", ", ",\n").split("\n"))
+        texts.append("/*\n" + commented + "\n */")
+        wanted.append(f"{name}:{texts[-1].index('P' if name == 'MIT' else 'R')}:{len(texts[-1]) - 5}")
+    both = whole["MIT"] + "\n\n" + whole["BSD-2-Clause"]
+    texts.append(both)
+    wanted.append(f"MIT:0:{len(whole['MIT']) - 1},BSD-2-Clause:{len(whole['MIT']) + 2}:{len(both) - 1}")
+    got = {r.doc_id: r.spans for r in licenses.digest(licenses.scan(frame(spark, texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == wanted
+
+
 def test_chats(spark):
     ctl = "a\\b [IN\\ST] [\\INST] </s> \\\\[/INST] <s> [SYS][/ROLE] \\"
     rows = [(1, 0, "user", ctl), (1, 1, "assistant", ctl), (2, 0, "assistant", "x"), (2, 1, None, None), (2, 1, "tool</s>", ""), (3, None, "system", "s"), (3, 0, "user", "q"),

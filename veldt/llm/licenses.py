@@ -1,19 +1,21 @@
 """License scans by conditional compression.
 
-Candidate blocks are lines, and runs of lines, that hold a licensing word. Each block is compressed
+Candidate blocks reach from a licensing word by the length of the longest template on both sides, across
+lines and blank lines; its line and its paragraph are looked at by themselves too. Each block is compressed
 plainly and with every template as a raw zstandard dictionary; templates are ranked by how much
 their dictionary shortens the block, and the best ones are confirmed by exact wording: the words of
 the template, aligned with the block's, may differ only in the holes that the template leaves open
 (years, names, version numbers). A confirmed template yields a span.
 
-Whole texts are scanned; a block has no length limit, as windows around licensing words are cut by
-the length of the longest template. Null counts as the empty text, which has no blocks. Rows are
+Whole texts are scanned: blocks that overlap are joined, and a long one is compressed in pieces that
+overlap by the longest template, which is counted in words. Null counts as the empty text, which has no blocks. Rows are
 independent: ties in shortening are broken by the template's place, repeated rows and other columns
 need no rule, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -110,6 +112,8 @@ HOLE_WORDS = 12
 #: A template wins if its dictionary saves at least this share of what it could: of the block's
 #: compressed size or its own, whichever is less.
 LEAST_SAVING = 0.2
+#: A block is compressed in pieces of about so many times the longest template.
+BLOCK_TEMPLATES = 16
 
 
 @dataclass(frozen=True)
@@ -147,17 +151,15 @@ class Scanner:
         # The ranking of a block depends on its text alone; short blocks recur.
         self.rank = functools.lru_cache(maxsize=4096)(self._rank)
 
-    def blocks(self, text: str) -> Iterator[tuple[int, int]]:
-        """Spans around licensing words: whole lines, widened by the longest template; overlapping ones joined."""
-        reach = 12 * self.most
+    def blocks(self, places: list[tuple[int, int]], cues: list[int]) -> Iterator[tuple[int, int]]:
+        """Ranges of words around licensing words, widened by the longest template; overlapping ones joined."""
+        starts = [s for s, _ in places]
         start = end = -1
-        for m in CUES.finditer(text):
-            a = text.rfind("\n\n", max(0, m.start() - reach), m.start())
-            a = max(0, m.start() - reach) if a < 0 else a + 2
-            b = text.find("\n\n", m.end(), m.end() + reach)
-            b = min(len(text), m.end() + reach) if b < 0 else b
+        for c in cues:
+            k = bisect.bisect_right(starts, c)
+            a, b = max(0, k - self.most), min(len(places), k + self.most)
             if a <= end:
-                end = max(end, b)
+                end = b
             else:
                 if end >= 0:
                     yield start, end
@@ -165,18 +167,24 @@ class Scanner:
         if end >= 0:
             yield start, end
 
-    def windows(self, text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-        """What is compressed: the lines of the block that hold licensing words, and the block if it has more."""
-        cues = [m.start() + start for m in CUES.finditer(text[start:end])]
-        lines = []
-        for c in cues:
-            a = max(start, text.rfind("\n", start, c) + 1)
-            b = text.find("\n", c, end)
-            lines.append((a, end if b < 0 else b))
-        lines = sorted(set(lines))
-        yield from lines
-        if lines != [(start, end)]:
-            yield start, end
+    def windows(self, text: str, places: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """What is compressed: the lines and paragraphs that hold licensing words, and the blocks around them."""
+        cues = [m.start() for m in CUES.finditer(text)]
+        out = set()
+        for mark in ("\n", "\n\n"):
+            end = -1
+            for c in cues:
+                if c < end:
+                    continue
+                start = text.rfind(mark, 0, c)
+                start = 0 if start < 0 else start + len(mark)
+                end = text.find(mark, c)
+                end = len(text) if end < 0 else end
+                out.add((start, end))
+        for a, b in self.blocks(places, cues):
+            for x in range(a, max(a + 1, b - self.most), BLOCK_TEMPLATES * self.most):
+                out.add((places[x][0], places[min(b, x + (BLOCK_TEMPLATES + 1) * self.most) - 1][1]))
+        yield from sorted(out)
 
     def _rank(self, block: str) -> list[tuple[float, int]]:
         """(saving, template) for the templates that shorten the block, best first."""
@@ -214,16 +222,17 @@ class Scanner:
     def scan(self, text: str) -> list[dict]:
         """Confirmed spans in order: start, end, license, template, saving. Where spans overlap the longest stays."""
         found = []
-        for a, b in self.blocks(text):
-            for x, y in self.windows(text, a, b):
-                block = text[x:y]
-                if not (ranked := self.rank(block)):
-                    continue
-                places = [(m.start() + x, m.end() + x) for m in _WORD.finditer(block)]
-                words = [text[s:e].lower() for s, e in places]
-                for saving, i in ranked:
-                    for s, e in self.confirm(words, self.templates[i]):
-                        found.append({"start": places[s][0], "end": places[e - 1][1], "license": self.templates[i].license, "template": i, "saving": round(saving, 6)})
+        places = [m.span() for m in _WORD.finditer(text)]
+        starts, ends = [s for s, _ in places], [e for _, e in places]
+        words = [text[s:e].lower() for s, e in places]
+        for x, y in self.windows(text, places):
+            if not (ranked := self.rank(text[x:y])):
+                continue
+            a, b = bisect.bisect_left(starts, x), bisect.bisect_right(ends, y)
+            own = words[a:b]
+            for saving, i in ranked:
+                for s, e in self.confirm(own, self.templates[i]):
+                    found.append({"start": starts[a + s], "end": ends[a + e - 1], "license": self.templates[i].license, "template": i, "saving": round(saving, 6)})
         out: list[dict] = []
         for f in sorted(found, key=lambda f: (f["start"] - f["end"], f["start"], f["template"])):
             if all(f["end"] <= g["start"] or f["start"] >= g["end"] for g in out):
