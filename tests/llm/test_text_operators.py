@@ -105,6 +105,22 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), TOKENIZER).count() == 0
 
 
+def test_packing_ids_are_the_library_s(spark):
+    """The library as it is loaded: an added token in a text is its one id, and cuts the text."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"a  {end}  b{end}{end}", "", "plain  text ", f"don{end}'t <|endof{end}text|>", "<|endoftext|", f"{end}x", " x  "]
+    ids, edges = packing.encode_whole(texts, TOKENIZER)
+    wanted = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == wanted and wanted[0] == [50256]
+    rows = packing.pack(frame(spark, texts), TOKENIZER).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in rows} == {
+        i: (len(x) + 1, zlib.crc32(b"".join(y.to_bytes(4, "little") for y in [*x, 2]))) for i, x in enumerate(wanted)
+    }
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_plan_places_every_piece(seed):
     r = random.Random(seed)

@@ -13,6 +13,7 @@ that takes them, and open bins only when no gap does.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -121,6 +122,42 @@ def encode_pieces(path: str):
     return encode
 
 
+@functools.lru_cache(maxsize=1)
+def added_tokens(path: str) -> tuple[re.Pattern, dict[str, int]] | None:
+    """What finds the added tokens of the file in a text, and their ids; the longest of those that start together wins."""
+    tokens = _tokenizer(path).get_added_tokens_decoder()
+    if not tokens:
+        return None
+    if odd := [t.content for t in tokens.values() if t.lstrip or t.rstrip or t.single_word or t.normalized]:
+        raise ValueError(f"added tokens that take white space, want word borders or normalised text are not supported: {odd}")
+    ids = {t.content: i for i, t in tokens.items()}
+    return re.compile("|".join(map(re.escape, sorted(ids, key=len, reverse=True)))), ids
+
+
+def encode_whole(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some texts one after another, and where each text's ids start.
+
+    Added tokens cut a text into parts that the pattern never sees together; their ids stand between.
+    """
+    cache, added = _cache(path), added_tokens(path)
+    if added is None or not any(added[0].search(t) for t in texts):
+        return cache.lookup(Split(texts))
+    rule, known = added
+    parts, firsts, between = [], [0], []
+    for text in texts:
+        at = 0
+        for m in rule.finditer(text):
+            parts.append(text[at : m.start()])
+            between.append((len(parts), known[m.group()]))
+            at = m.end()
+        parts.append(text[at:])
+        firsts.append(len(parts))
+    ids, edges = cache.lookup(Split(parts))
+    after = np.array([k for k, _ in between])
+    whole = np.insert(ids, edges[after], np.array([i for _, i in between], ids.dtype))
+    return whole, edges[firsts] + np.searchsorted(after, firsts, side="right")
+
+
 @functools.lru_cache(maxsize=1)
 def _cache(path: str) -> PieceCache:
     return PieceCache(encode_pieces(path))
@@ -131,13 +168,12 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: i
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(tokenizer_path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             texts = texts_of(batch, "text")
             for a, b in chunks(texts):
-                ids, edges = cache.lookup(Split(texts[a:b]))
+                ids, edges = encode_whole(texts[a:b], tokenizer_path)
                 total = np.diff(edges) + 1
                 pieces = -(-total // capacity)
                 row = np.repeat(np.arange(b - a), pieces)
