@@ -198,6 +198,25 @@ def test_quality_lines(spark):
     assert all(x.kept for x in quality.judge(other, max_docs=5).collect())
 
 
+def new_words(r, n):
+    return " ".join("".join(r.choice(string.ascii_lowercase) for _ in range(7)) for _ in range(n))
+
+
+def test_quality_counts_every_occurrence_of_a_line(spark):
+    """A frequent line that stands many times in a document is removed many times, and all its words count."""
+    r = random.Random(16)
+    common = [new_words(r, 5) for _ in range(5)]
+    # Every pair of neighbours differs, so no window of 8 words recurs.
+    mixed = "\n".join(x for k in range(8) for i in range(5) for x in (common[i], new_words(r, 1)))
+    texts = ["\n".join(common) + "\n" + new_words(r, 90) for _ in range(6)] + [mixed + "\n" + new_words(r, 20)]
+    rows = {x.doc_id: x for x in quality.judge(frame(spark, texts), max_docs=5).collect()}
+    last = rows[6]
+    assert (last.n_words, last.n_removed_words, last.base_failed, last.kept) == (260, 200, False, False)
+    assert [rows[i].n_removed_words for i in range(6)] == [0] + [25] * 5 and all(rows[i].kept for i in range(6))
+    cleaned = {x.doc_id: len(x.text.split()) for x in quality.clean(frame(spark, texts), max_docs=5).collect()}
+    assert cleaned == {i: rows[i].n_words - rows[i].n_removed_words for i in range(6)}
+
+
 def test_quality_on_nothing_and_repeats(spark):
     assert quality.judge(frame(spark, [])).count() == 0 and quality.clean(frame(spark, [])).count() == 0
     one = frame(spark, ["w " * 5 + " ".join(f"v{i}" for i in range(40))])

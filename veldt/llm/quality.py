@@ -9,6 +9,8 @@ All of it is DataFrame and SQL functions. Counting is two aggregations that comb
 shuffle; the join back is on (host, line), which adaptive execution may split; texts are never shuffled
 for a verdict. What the one pass over the texts finds is written once to the shared folder.
 
+A line that stands k times in a document counts k times in the words removed, as all k go.
+
 Null text counts as empty (no words: ``base_failed``). A null host is a host of its own. Rows that
 repeat an id share one verdict, made of all of them. Other columns are not read; an empty table
 gives no rows. Ties in the least id cannot arise within one id.
@@ -40,6 +42,14 @@ _WINDOWS = "if(size(hashes) > 8, transform(sequence(0, size(hashes) - 8), i -> x
 )
 
 
+#: The different lines, each with the words of all its occurrences: runs of the sorted ones.
+_LINES = """
+if(size(array_distinct(each)) = size(each), each, transform(array(sort_array(each)), s ->
+  transform(array(filter(sequence(0, size(s) - 1), i -> i = 0 or s[i].line != s[i - 1].line)), p ->
+    transform(p, (i, k) -> named_struct('line', s[i].line, 'n_words', s[i].n_words * (coalesce(get(p, k + 1), size(s)) - i))))[0])[0])
+"""
+
+
 def _normal(line: Column) -> Column:
     """Lower case, and every run of white space as one space."""
     out = F.lower(line)
@@ -52,7 +62,8 @@ def profile(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """One row per row: doc_id, host, the statistics of the text, ``content`` and ``lines``.
 
     Statistics: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed. ``lines`` are
-    the different lines with their hashes and word counts, ``content`` the hash of all of them.
+    the different lines with their hashes and the words of all their occurrences, ``content`` the hash of
+    all lines.
     One narrow pass over the texts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -73,7 +84,7 @@ def profile(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
         F.transform("raw", _normal).alias("normal"),
     )
-    windows = arrays.withColumn("wins", F.expr(_WINDOWS)).withColumn("lines", F.array_distinct(F.transform("normal", _line)))
+    windows = arrays.withColumn("wins", F.expr(_WINDOWS)).withColumn("each", F.transform("normal", _line))
     counted = windows.select(
         "doc_id",
         "host",
@@ -83,7 +94,7 @@ def profile(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         "n_dup_lines",
         F.expr(f"if(size(array_distinct(wins)) = size(wins), 0L, {_REPEATED})").alias("n_repeat_words"),
         F.xxhash64("normal").alias("content"),
-        "lines",
+        F.expr(_LINES).alias("lines"),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
