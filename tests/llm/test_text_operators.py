@@ -217,6 +217,24 @@ def test_quality_counts_every_occurrence_of_a_line(spark):
     assert cleaned == {i: rows[i].n_words - rows[i].n_removed_words for i in range(6)}
 
 
+def test_quality_judges_rows_by_themselves(spark):
+    """Repeated rows do not add up their removed words, nor do different texts under one id or a null one."""
+    r = random.Random(17)
+    common = new_words(r, 40)
+    texts = [common + "\n" + new_words(r, 60) for _ in range(8)] + [new_words(r, 30)]
+    df = frame(spark, texts)
+    twice = quality.judge(df.union(df), max_docs=5).collect()
+    assert len(twice) == 18 and all(x.kept for x in twice) and {x.n_removed_words for x in twice if 1 <= x.doc_id < 8} == {40}
+    shared = df.withColumn("doc_id", F.when(F.col("doc_id") > 1, F.lit(None).cast("long")).otherwise(F.col("doc_id")))
+    assert [(x.n_words, x.n_removed_words, x.kept) for x in quality.judge(shared, max_docs=5).orderBy("n_words", "n_removed_words").collect()] == [
+        (30, 0, True), (100, 0, True), *[(100, 40, True)] * 7,
+    ]
+    cleaned = sorted(len(x.text.split()) for x in quality.clean(shared, max_docs=5).collect())
+    assert cleaned == [30, *[60] * 7, 100]
+    hosts = df.union(frame(spark, texts[3:4], source="other")).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.lit(None).cast("long")).otherwise(F.col("doc_id")))
+    assert sorted(len(x.text.split()) for x in quality.clean(hosts.where("source = 'other' or text is not null"), max_docs=5).collect()) == [30, *[60] * 7, 100, 100]
+
+
 def test_quality_on_nothing_and_repeats(spark):
     assert quality.judge(frame(spark, [])).count() == 0 and quality.clean(frame(spark, [])).count() == 0
     one = frame(spark, ["w " * 5 + " ".join(f"v{i}" for i in range(40))])

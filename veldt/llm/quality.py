@@ -11,9 +11,10 @@ for a verdict. What the one pass over the texts finds is written once to the sha
 
 A line that stands k times in a document counts k times in the words removed, as all k go.
 
-Null text counts as empty (no words: ``base_failed``). A null host is a host of its own. Rows that
-repeat an id share one verdict, made of all of them. Other columns are not read; an empty table
-gives no rows. Ties in the least id cannot arise within one id.
+Null text counts as empty (no words: ``base_failed``). A null host is a host of its own. Rows are told
+apart by a hash of id, host and text: those alike in all three share a verdict, others under one id, null
+too, have their own. Other columns are not read; an empty table gives no rows. Ties in the least id
+cannot arise within one id.
 """
 
 from __future__ import annotations
@@ -50,6 +51,12 @@ if(size(array_distinct(each)) = size(each), each, transform(array(sort_array(eac
 """
 
 
+def _key(id_col: str, text_col: str, host_col: str) -> Column:
+    """What tells rows apart: a hash of id, host and text."""
+    parts = [F.col(id_col), F.col(host_col).cast("string"), F.col(text_col)]
+    return F.xxhash64(*[x for p in parts for x in (p.isNull(), p)])
+
+
 def _normal(line: Column) -> Column:
     """Lower case, and every run of white space as one space."""
     out = F.lower(line)
@@ -59,16 +66,17 @@ def _normal(line: Column) -> Column:
 
 
 def profile(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per row: doc_id, host, the statistics of the text, ``content`` and ``lines``.
+    """One row per row: doc_id, key, host, the statistics of the text, ``content`` and ``lines``.
 
     Statistics: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed. ``lines`` are
     the different lines with their hashes and the words of all their occurrences, ``content`` the hash of
-    all lines.
+    all lines, ``key`` that of id, host and text.
     One narrow pass over the texts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     split = docs.select(
         F.col(id_col).alias("doc_id"),
+        _key(id_col, text_col, host_col).alias("key"),
         F.col(host_col).cast("string").alias("host"),
         F.filter(F.split(text, BLANK + "+", -1), lambda w: w != "").alias("words"),
         F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD)).alias("raw"),
@@ -76,6 +84,7 @@ def profile(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     )
     arrays = split.select(
         "doc_id",
+        "key",
         "host",
         F.size("words").cast("long").alias("n_words"),
         F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
@@ -87,6 +96,7 @@ def profile(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     windows = arrays.withColumn("wins", F.expr(_WINDOWS)).withColumn("each", F.transform("normal", _line))
     counted = windows.select(
         "doc_id",
+        "key",
         "host",
         "n_words",
         "word_chars",
@@ -106,9 +116,9 @@ def _line(normal: Column) -> Column:
 
 
 def document_lines(profiles: DataFrame) -> DataFrame:
-    """Each different line of each document: doc_id, host, content, line, n_words."""
-    each = profiles.select("doc_id", "host", "content", F.explode("lines").alias("x"))
-    return each.select("doc_id", "host", "content", "x.line", "x.n_words")
+    """Each different line of each row: doc_id, key, host, content, line, n_words."""
+    each = profiles.select("doc_id", "key", "host", "content", F.explode("lines").alias("x"))
+    return each.select("doc_id", "key", "host", "content", "x.line", "x.n_words")
 
 
 def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
@@ -119,10 +129,10 @@ def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
 
 
 def removed_lines(lines: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The document lines that go: doc_id, line, n_words."""
+    """The document lines that go, once for rows that are alike: key, line, n_words."""
     known = frequent.select(F.col("host").alias("_host"), F.col("line").alias("_line"), "first_doc")
     hit = F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line"))
-    return lines.join(known, hit).where(~F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("doc_id", "line", "n_words")
+    return lines.join(known, hit).where(~F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("key", "line", "n_words").distinct()
 
 
 def judge(
@@ -140,17 +150,18 @@ def judge(
     ``least_share`` of its words left.
     """
     profiles = cut(profile(docs, id_col=id_col, text_col=text_col, host_col=host_col))
-    return _verdict(profiles, max_docs, least_share)[0]
+    return _verdict(profiles, max_docs, least_share)[0].drop("key")
 
 
 def _verdict(profiles: DataFrame, max_docs: int, least_share: float) -> tuple[DataFrame, DataFrame]:
     lines = document_lines(profiles)
     removed = removed_lines(lines, frequent_lines(lines, max_docs))
-    gone = removed.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("n_words").alias("n_removed"))
-    joined = profiles.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    gone = removed.groupBy("key").agg(F.sum("n_words").alias("n_removed"))
+    joined = profiles.join(gone, "key", "left")
     n_removed = F.least(F.coalesce("n_removed", F.lit(0)), "n_words")
     left_enough = F.col("n_words") - n_removed >= least_share * F.col("n_words")
     verdict = joined.select(
+        "key",
         "doc_id",
         "n_words",
         "word_chars",
@@ -168,11 +179,11 @@ def clean(docs: DataFrame, *, max_docs: int = 50, least_share: float = 0.3, id_c
     """The kept documents with all their columns, their removed lines gone from the text."""
     profiles = cut(profile(docs, id_col=id_col, text_col=text_col, host_col=host_col))
     verdict, removed = _verdict(profiles, max_docs, least_share)
-    gone = removed.groupBy("doc_id").agg(F.collect_set("line").alias("__veldt_gone"))
-    kept = verdict.where("kept").select(F.col("doc_id").alias("__veldt_id")).distinct()
-    marked = kept.join(gone, F.col("__veldt_id").eqNullSafe(F.col("doc_id")), "left").select("__veldt_id", "__veldt_gone")
+    gone = removed.groupBy("key").agg(F.collect_set("line").alias("__veldt_gone"))
+    marked = verdict.where("kept").select("key").distinct().join(gone, "key", "left").withColumnRenamed("key", "__veldt_key")
     stay = F.filter(
         F.split(F.col(text_col), "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("__veldt_gone"), F.xxhash64(_normal(x))))
     )
     text = F.when(F.col("__veldt_gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
-    return docs.join(marked, F.col(id_col).eqNullSafe(F.col("__veldt_id"))).withColumn(text_col, text).select(*docs.columns)
+    keyed = docs.withColumn("__veldt_key", _key(id_col, text_col, host_col))
+    return keyed.join(marked, "__veldt_key").withColumn(text_col, text).select(*docs.columns)
