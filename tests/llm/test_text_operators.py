@@ -355,6 +355,32 @@ def test_page_blocks():
     assert html_text.leaf_blocks("") == [] and [b.text for b in html_text.leaf_blocks("a < b & c <p unclosed")] == ["a < b & c"]
 
 
+def test_pages_without_optional_tags(spark):
+    """A head that is not closed hides nothing of the body; elements that never end hide nothing; math and object show text."""
+    texts = lambda page: [b.text for b in html_text.leaf_blocks(page)]
+    article = "<article><h1>Title</h1><p>One sentence, of the article.</p><p>Another one.</p></article>"
+    shown = ["Title", "One sentence, of the article.", "Another one."]
+    for head in ("<head><title>t</title>", "<head><meta charset=utf-8><style>p {}</style><script>x</script>", "<head><noscript>n</noscript></head>", "<HEAD><title>t</title></HEAD>"):
+        for body in ("<body>", ""):
+            assert texts(f"<html>{head}{body}{article}") == shown
+    assert texts(f"<head><title>t {article}") == [] and texts(f"<header>a</header>{article}") == ["a", *shown]
+    assert texts("<p>a <math><mi>x</mi><mo>=</mo><annotation encoding=tex>\\x</annotation></math> b <object data=d>c</object></p>") == ["a x= b c"]
+    for open_ in ("<svg>", "<canvas>", "<template>", "<iframe src=x>", "<svg/>", "<title-card>", "<style-guide>"):
+        assert texts(f"<p>a</p>{open_}{article}") == ["a", *shown]
+    assert texts(f"<p>a</p><svg/>{article}<svg>no</svg>") == ["a", *shown]
+    assert texts("<canvas>" * 20_000 + "a") == ["a"]
+    page = f"<html><head><title>t</title><body><nav><ul><li><a href='/a'>Menu</a></li></ul></nav>{article}<footer>&copy; x</footer>"
+    rows = html_text.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).collect()
+    assert rows[0].text == "\n".join(shown)
+
+
+def test_features_see_the_whole_block():
+    """Phrases count wherever they stand, and no feature has a name but no value."""
+    long = html_text.features(html_text.leaf_blocks("<p>" + "word " * 200 + "all rights reserved</p>"))
+    assert long[0, html_text.NAMES.index("phrase")] == 1
+    assert long.shape[1] == len(html_text.NAMES) and "digits" not in html_text.NAMES
+
+
 def test_pages(spark):
     chain = html_text.trained()
     wrong = total = 0

@@ -7,8 +7,9 @@ generated here from a seed (``generate_page``): layouts with and without semanti
 notices, adverts inside articles, forms, sidebars, reader comments, so that structure decides and
 not the length of a text.
 
-Scripts, styles, comments, the head and other parts that never show text are left out when the page
-is read. Whole pages are read; null counts as the empty page, whose text is empty. Pages are
+Scripts, styles, comments, titles and other parts that never show text are left out when the page is
+read. The head needs no closing tag: what it may hold is left out by itself, and what shows text ends it,
+as in parsers. Whole pages are read; null counts as the empty page, whose text is empty. Pages are
 independent, so ties, repeated rows and other columns need no rule; an empty table gives no rows.
 """
 
@@ -48,12 +49,15 @@ IMPLIED = {
 }
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title|head|canvas|object|math)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<unseen>noscript|template|svg(?![^>]*/>)|iframe|canvas|annotation-xml|annotation)(?=[\s/>])[^>]*+>"
     r"|<[!?][^>]*+>"
     r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>[^>"']|"[^"]*+"|'[^']*+')*+)>"""
     r"|</?[a-zA-Z][^>]*+(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+#: The ends of elements whose content is not shown; one that is never closed hides nothing.
+_UNSEEN_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in "noscript template svg iframe canvas annotation-xml annotation".split()}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-[a-z]+|type)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 
 #: Ancestor features: tags, then words of class, id and role.
@@ -154,9 +158,15 @@ def leaf_blocks(page: str) -> list[Block]:
                 return
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    endless: set[str] = set()
+    while m := _TOKEN.search(page, at):
         words(page[at : m.start()])
         at = m.end()
+        if (unseen := (m["unseen"] or "").lower()) and unseen not in endless:
+            if end := _UNSEEN_END[unseen].search(page, at):
+                at = end.end()
+            else:
+                endless.add(unseen)
         tag = m["tag"]
         if tag is None:
             continue
