@@ -84,7 +84,7 @@ _PHRASES = re.compile(
     r"datenschutz|impressum|anmelden|mentions légales|connexion|iniciar sesión|aviso legal",
     re.IGNORECASE,
 )
-TEXT = ("links", "all_links", "few", "some", "many", "log_words", "ends", "commas", "phrase", "digits", "first", "last", "bias")
+TEXT = ("links", "all_links", "few", "some", "many", "log_words", "ends", "commas", "phrase", "first", "last", "bias")
 NAMES = (*(f"in_{t}" for t in TAGS), *(f"word_{w}" for w in WORDS), *(f"own_{o}" for o in OWN), *TEXT)
 _TAG_BIT = {t: 1 << i for i, t in enumerate(TAGS)}
 _WORD_BIT = {w: 1 << (len(TAGS) + i) for i, w in enumerate(WORDS)}
@@ -207,7 +207,7 @@ def features(blocks: list[Block]) -> np.ndarray:
         links = b.link_chars / len(text)
         out[i, base:] = (
             links, links > 0.8, count <= 3, 3 < count <= 12, count > 40, math.log1p(count) / 5, text[-1] in ".!?…\"”", min(text.count(","), 5) / 5,
-            bool(_PHRASES.search(text[:400])), 0.0, i == 0, i == n - 1, 1.0,
+            bool(_PHRASES.search(text)), i == 0, i == n - 1, 1.0,
         )
     return out
 
