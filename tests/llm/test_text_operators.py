@@ -61,11 +61,32 @@ def test_bpe_is_what_the_library_does(spark):
 
 
 def test_long_pieces_merge_alike():
-    m = bpe.merger(RANKS)
+    m, e = bpe.merger(RANKS), encoder()
     r = random.Random(3)
-    for n in (129, 500):
-        piece = "".join(r.choice("abcething") for _ in range(n)).encode()
-        assert m._heap(piece).tolist() == m._matrix([piece])[0].tolist() == encoder()._encode_single_piece(piece)
+    pieces = ["".join(r.choice(a) for _ in range(n)).encode() for n in (1, 2, 3, 7, 129, 500, 4000) for a in ("a", "ab", "abcething", "=-", string.ascii_lowercase)]
+    ids, size = m.encode(pieces)
+    ends = size.cumsum()
+    for piece, n, end in zip(pieces, size, ends, strict=True):
+        assert ids[end - n : end].tolist() == e._encode_single_piece(piece)
+
+
+@pytest.mark.parametrize("most", [1, 7, 50, 10_000])
+def test_a_small_cache_changes_nothing(most):
+    e, cache = encoder(), bpe.PieceCache(bpe.merger(RANKS).encode, most)
+    for seed in range(12):
+        texts = random_texts(6, seed)
+        ids, edges = cache.lookup(Split(texts))
+        assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == [e.encode_ordinary(t) for t in texts]
+        assert most < 100 or len(cache.keys) <= most
+
+
+def test_pieces_that_only_share_a_hash_are_told_apart():
+    e, cache = encoder(), bpe.PieceCache(bpe.merger(RANKS).encode)
+    for texts in (["alpha beta"], ["gamma beta", " beta gamma alpha"]):
+        split = Split(texts)
+        split.hashes[:] = 5
+        ids, edges = cache.lookup(split)
+        assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == [e.encode_ordinary(t) for t in texts]
 
 
 def check_packing(rows, texts, capacity):

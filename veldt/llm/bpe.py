@@ -3,8 +3,9 @@
 Each text is split by the public pattern; the merges of a piece depend on the piece alone, so
 every distinct piece of a batch is encoded once. Unseen pieces are laid out as padded numpy
 matrices by length; in each round every row looks up the ranks of its neighbouring pairs in a
-hash table and merges the leftmost pair of least rank, and the row is compacted. Pieces above
-``LONG_BYTES`` bytes would make wide rows that take one round per merge; a heap merges those.
+hash table and merges the leftmost pair of least rank, and with it all later pairs of that rank
+where no new pair would come between; then the row is compacted. So a long piece takes as many
+rounds as it uses ranks, not merges.
 
 Null counts as the empty text, which has no ids. Rows are independent: ties, repeated rows,
 extra columns and empty tables need no rule.
@@ -15,7 +16,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,63 +23,94 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, texts_of
+from .common import parts, texts_of
 from .pieces import Split
 
-LONG_BYTES = 128
+#: About so many cells are in a matrix of several rows.
+MOST_CELLS = 1 << 16
 NONE = np.int32(2**31 - 1)
 
 
 class PieceCache:
-    """Ids of pieces by their hash, for the tasks of one worker; it is emptied beyond ``most``."""
+    """Ids of pieces for the tasks of one worker: at most about ``most`` pieces, some megabytes.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], most: int = 1_000_000) -> None:
-        self.encode, self.most = encode, most
-        self.clear()
+    Pieces are known by two hashes. Beyond ``most`` the half goes that was not asked for the longest.
+    """
 
-    def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 600_000) -> None:
+        self.encode, self.most, self.now = encode, most, 0
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
-    def _add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+    def _add(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         at = np.cumsum(size) - size + len(self.ids)
         place = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, place, keys)
-        self.at = np.insert(self.at, place, at)
-        self.size = np.insert(self.size, place, size)
-        self.ids = np.concatenate([self.ids, *ids]).astype(np.uint32)
+        self.keys, self.checks = np.insert(self.keys, place, keys), np.insert(self.checks, place, checks)
+        self.at, self.size = np.insert(self.at, place, at), np.insert(self.size, place, size)
+        self.used = np.insert(self.used, place, self.now)
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _trim(self) -> None:
+        keep = np.sort(np.argpartition(-self.used, self.most // 2)[: self.most // 2])
+        self.keys, self.checks, at, self.size, self.used = (v[keep] for v in (self.keys, self.checks, self.at, self.size, self.used))
+        self.ids = _runs(self.ids, at, self.size)
+        self.at = np.cumsum(self.size, dtype=np.int64) - self.size
 
     def lookup(self, split: Split) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text's ids start and end."""
+        self.now += 1
         if len(self.keys) > self.most:
-            self.clear()
-        own = np.flatnonzero(split.long)
+            self._trim()
         keys, first, back = np.unique(split.hashes, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
+        place = np.searchsorted(self.keys, keys)
         inside = place < len(self.keys)
         known[inside] = self.keys[place[inside]] == keys[inside]
         known |= split.long[first]
-        if new := np.flatnonzero(~known).tolist():
-            self._add(keys[new], self.encode([split.piece(i) for i in first[new]]))
+        if len(new := np.flatnonzero(~known)):
+            self._add(keys[new], split.checks[first[new]], *self.encode([split.piece(i) for i in first[new].tolist()]))
             place = np.searchsorted(self.keys, keys)
         place = np.minimum(place, max(len(self.keys) - 1, 0))
+        own = split.long
+        at, size, pool = np.zeros(len(back), np.int64), np.zeros(len(back), np.int64), self.ids
         if len(self.keys):
-            at, size, pool = self.at[place][back], self.size[place][back], self.ids
-        else:
-            at, size, pool = np.zeros(len(back), np.int64), np.zeros(len(back), np.int64), self.ids
-        if len(own):
-            long_ids = self.encode([split.piece(i) for i in own])
-            size[own] = np.fromiter(map(len, long_ids), np.int64, len(own))
+            self.used[place] = self.now
+            each = place[back]
+            at, size = self.at[each], self.size[each].astype(np.int64)
+            own = own | (self.checks[each] != split.checks)
+        if len(own := np.flatnonzero(own)):
+            ids, size[own] = self.encode([split.piece(i) for i in own.tolist()])
             at[own] = np.cumsum(size[own]) - size[own] + len(pool)
-            pool = np.concatenate([pool, *long_ids]).astype(np.uint32)
-        ends = np.cumsum(size)
-        source = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - (ends - size), size)
-        edges = np.append(0, ends)[split.bounds]
-        return pool[source], edges
+            pool = np.concatenate([pool, ids])
+        return _runs(pool, at, size), np.append(0, np.cumsum(size))[split.bounds]
+
+
+def _apart(hit: np.ndarray) -> np.ndarray:
+    """Every other one of hits that stand next to each other, from the left."""
+    places = np.arange(hit.shape[1])
+    begins = hit.copy()
+    begins[:, 1:] &= ~hit[:, :-1]
+    begin = np.maximum.accumulate(np.where(begins, places, 0), axis=1)
+    return hit & ((places - begin) % 2 == 0)
+
+
+def _rows(flat: np.ndarray, widths: np.ndarray, fill: int) -> np.ndarray:
+    """A matrix of rows of these widths, filled up on the right."""
+    wide = int(widths.max())
+    if (widths == wide).all():
+        return flat.reshape(len(widths), wide)
+    out = np.full((len(widths), wide), fill, flat.dtype)
+    out[np.arange(wide)[None, :] < widths[:, None]] = flat
+    return out
+
+
+def _runs(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of the pool that start at ``at``, one after another."""
+    ends = np.cumsum(size, dtype=np.int64)
+    source = np.arange(ends[-1] if len(ends) else 0)
+    source += np.repeat(at - (ends - size), size)
+    return pool[source]
 
 
 class Merger:
@@ -143,30 +174,37 @@ class Merger:
             slot = (slot[go_on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(pieces)
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after another, and how many each has."""
+        size = np.zeros(len(pieces), np.int64)
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int64, len(pieces))
+        size[whole >= 0] = 1
         buckets: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                out[i] = np.array([whole], np.uint32)
-            elif len(piece) > LONG_BYTES:
-                out[i] = self._heap(piece)
-            else:
-                buckets.setdefault((len(piece) + 3) // 4, []).append(i)
-        for rows in buckets.values():
-            for a in range(0, len(rows), 8192):
-                part = rows[a : a + 8192]
-                for i, ids in zip(part, self._matrix([pieces[i] for i in part]), strict=True):
-                    out[i] = ids
-        return out
-
-    def _matrix(self, pieces: list[bytes]) -> list[np.ndarray]:
+        for i in np.flatnonzero(whole < 0).tolist():
+            buckets.setdefault((len(pieces[i]) + 3) // 4, []).append(i)
+        done = []
+        for wide, rows in buckets.items():
+            step = max(1, MOST_CELLS // (4 * wide + 4))
+            for a in range(0, len(rows), step):
+                part = np.array(rows[a : a + step])
+                ids, size[part] = self._matrix([pieces[i] for i in part])
+                done.append((part, ids))
+        ends = np.cumsum(size)
+        flat = np.zeros(ends[-1] if len(ends) else 0, np.uint32)
+        flat[(ends - size)[whole >= 0]] = whole[whole >= 0]
+        for part, ids in done:
+            n = size[part]
+            before = np.cumsum(n) - n
+            flat[np.arange(len(ids)) + np.repeat((ends - size)[part] - before, n)] = ids
+        return flat, size
+
+    def _matrix(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces, one after another, and how many each has."""
         count = len(pieces)
         size = np.fromiter(map(len, pieces), np.int64, count)
         wide = int(size.max(initial=0))
         if wide == 0:
-            return [np.zeros(0, np.uint32)] * count
+            return np.zeros(0, np.uint32), size
         padded = np.frombuffer(b"".join(p.ljust(wide, b"\0") for p in pieces), np.uint8).reshape(count, wide)
         ids = self.byte_ids[padded]
         ranks = np.full((count, wide), NONE, np.int32)
@@ -174,59 +212,46 @@ class Merger:
         ranks[y, x] = self.pair_ranks(ids[y, x], ids[y, x + 1])
         done_ids, done_size = ids.copy(), size.copy()
         rows = np.arange(count)
-        places = np.arange(wide)
         while len(rows):
-            best = ranks.argmin(axis=1)
-            least = ranks[np.arange(len(rows)), best]
+            least = ranks.min(axis=1)
             stop = least == NONE
             if stop.any():
                 done_ids[rows[stop], : ids.shape[1]], done_size[rows[stop]] = ids[stop], size[stop]
                 go_on = ~stop
-                rows, ids, ranks, size, best, least = rows[go_on], ids[go_on], ranks[go_on], size[go_on], best[go_on], least[go_on]
+                rows, ids, ranks, size, least = rows[go_on], ids[go_on], ranks[go_on], size[go_on], least[go_on]
                 if not len(rows):
                     break
-            # Compact: what stands right of the pair moves one place left.
-            shifted = np.minimum(places[None, :] + (places[None, :] > best[:, None]), wide - 1)
-            ids = np.take_along_axis(ids, shifted, axis=1)
-            ranks = np.take_along_axis(ranks, shifted, axis=1)
-            at = np.arange(len(rows))
-            ids[at, best] = least
-            size = size - 1
-            ranks[at, size - 1] = NONE
-            right = best + 1 < size
-            ranks[at[right], best[right]] = self.pair_ranks(ids[at[right], best[right]], ids[at[right], best[right] + 1])
-            left = best > 0
-            ranks[at[left], best[left] - 1] = self.pair_ranks(ids[at[left], best[left] - 1], ids[at[left], best[left]])
-        return [row[:n].astype(np.uint32) for row, n in zip(done_ids, done_size.tolist(), strict=True)]
-
-    def _heap(self, piece: bytes) -> np.ndarray:
-        """The same merges for one long piece: pairs wait in a heap by rank, then place."""
-        words = {i: piece[i : i + 1] for i in range(len(piece))}
-        after = {i: i + 1 for i in range(len(piece) - 1)}
-        before = {i + 1: i for i in range(len(piece) - 1)}
-        ranks, heap = self.ranks, []
-
-        def push(i: int | None) -> None:
-            if i is not None and (j := after.get(i)) is not None:
-                if (r := ranks.get(words[i] + words[j])) is not None:
-                    heapq.heappush(heap, (r, i, len(words[i]), len(words[j])))
-
-        for i in range(len(piece) - 1):
-            push(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after.get(i)
-            if j is None or i not in words or len(words[i]) != a or len(words[j]) != b:
-                continue
-            words[i] += words.pop(j)
-            if (k := after.pop(j, None)) is None:
-                del after[i]
-            else:
-                after[i], before[k] = k, i
-            before.pop(j)
-            push(before.get(i))
-            push(i)
-        return np.array([ranks[words[i]] for i in sorted(words)], np.uint32)
+            hit = ranks == least[:, None]
+            again = hit.sum(axis=1) > 1
+            if (hit[:, 1:] & hit[:, :-1]).any():
+                hit = _apart(hit)
+            then = self._merged(ids, ranks, size, least, hit)
+            # A new pair of no higher rank would have come before the later ones: such rows merge their leftmost only.
+            if (early := again & then[3]).any():
+                hit[early] &= hit[early].cumsum(axis=1) == 1
+                then = self._merged(ids, ranks, size, least, hit)
+            ids, ranks, size = then[:3]
+        return done_ids[np.arange(wide)[None, :] < done_size[:, None]].astype(np.uint32), done_size
+
+    def _merged(self, ids: np.ndarray, ranks: np.ndarray, size: np.ndarray, least: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, ...]:
+        """ids, ranks and sizes after merging the pairs that start at ``hit``; whether a new pair ranks no higher."""
+        y, x = np.nonzero(hit)
+        count = np.bincount(y, minlength=len(ids))
+        # Compact: what stands right of a pair moves left by the pairs before it, padding too.
+        stay = np.ones(ids.shape, bool)
+        stay[y, x + 1] = False
+        at = x - (np.arange(len(y)) - np.repeat(np.cumsum(count) - count, count))
+        new_ids, new_ranks = _rows(ids[stay], ids.shape[1] - count, 0), _rows(ranks[stay], ids.shape[1] - count, NONE)
+        size = size - count
+        new_ids[y, at] = least[y]
+        new_ranks[np.arange(len(ids)), size - 1] = NONE
+        early = np.zeros(len(ids), bool)
+        for first in (at - 1, at):
+            ok = (first >= 0) & (first + 1 < size[y])
+            r, c = y[ok], first[ok]
+            new_ranks[r, c] = told = self.pair_ranks(new_ids[r, c], new_ids[r, c + 1])
+            early[r[told <= least[r]]] = True
+        return new_ids, new_ranks, size, early
 
     def decode(self, ids: np.ndarray, edges: np.ndarray) -> list[bytes]:
         """The bytes of each run of ids between neighbouring edges."""
@@ -255,7 +280,7 @@ def encode_texts(
 
     Returns ``doc_id``, ``n_tokens``, ``ids`` (only with ``with_ids``), ``ids_sha256`` over the ids
     as little-endian unsigned 32-bit integers, and ``decoded_sha256`` over the bytes that the ids
-    decode to. One narrow pass, no shuffle; a task holds about a million characters at a time.
+    decode to. One narrow pass, no shuffle; a task looks at half a megabyte of text at a time.
     """
     extra = ", ids array<int>" if with_ids else ""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -263,24 +288,22 @@ def encode_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = merger(ranks_path)
         cache = _cache(ranks_path)
-        for batch in batches:
-            texts, keys = texts_of(batch, "text"), batch.column(0)
-            for a, b in chunks(texts):
-                ids, edges = cache.lookup(Split(texts[a:b]))
-                decoded = model.decode(ids, edges)
-                raw, cuts = ids.astype("<u4").tobytes(), edges.tolist()
-                spans = list(zip(cuts, cuts[1:], strict=False))
-                columns = [
-                    keys.slice(a, b - a),
-                    pa.array(np.diff(edges)),
-                    pa.array([hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in spans]),
-                    pa.array([hashlib.sha256(d).hexdigest() for d in decoded]),
-                ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int32))))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for part in parts(batches, "text"):
+            ids, edges = cache.lookup(Split(texts_of(part, "text")))
+            decoded = model.decode(ids, edges)
+            raw, cuts = ids.astype("<u4").tobytes(), edges.tolist()
+            spans = list(zip(cuts, cuts[1:], strict=False))
+            columns = [
+                part.column(0),
+                pa.array(np.diff(edges)),
+                pa.array([hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in spans]),
+                pa.array([hashlib.sha256(d).hexdigest() for d in decoded]),
+            ]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int32))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")

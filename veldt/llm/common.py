@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,16 +55,33 @@ def drop_cut(df: DataFrame | None) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def chunks(texts: list[str], most_chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts hold about ``most_chars`` characters; at least one row each."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > most_chars:
-            yield start, i
-            start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+#: About so many bytes of text are looked at together; arrays made for them are some dozens of times as large.
+PART_BYTES = 1 << 19
+
+
+def parts(batches: Iterator[pa.RecordBatch], name: str, most_bytes: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts hold about ``most_bytes``, at least one row each.
+
+    Only a slice's texts are Python objects at a time. At the end, freed memory goes back to the system,
+    as the worker may live on and others need it.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index(name))).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, side="right"))
+            stop = max(at + 1, stop)
+            yield batch.slice(at, stop - at)
+            at = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library has a call for that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:
@@ -115,33 +134,33 @@ def mix64(h: np.ndarray) -> np.ndarray:
 class Powers:
     """Powers of an odd base modulo 2**64 and their inverses, for prefix hashes of spans."""
 
-    BASE = 0x9E3779B97F4A7C15
-
-    def __init__(self) -> None:
+    def __init__(self, base: int) -> None:
+        self.base = base
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
 
     def reach(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
             size = max(n, 2 * len(self.up), 1 << 16)
-            inverse = pow(self.BASE, -1, 1 << 64)
-            for name, base in (("up", self.BASE), ("down", inverse)):
+            inverse = pow(self.base, -1, 1 << 64)
+            for name, base in (("up", self.base), ("down", inverse)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
         return self.up[:n], self.down[:n]
 
 
-POWERS = Powers()
+POWERS = Powers(0x9E3779B97F4A7C15)
+OTHER_POWERS = Powers(0xD1342543DE82EF95)
 
 
-def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
     """A 64-bit hash of each ``symbols[start:end]``, equal for equal spans wherever they stand.
 
     Prefix sums of symbol times power make every span a subtraction. Such a polynomial
     modulo 2**64 is weak for spans of thousands of crafted symbols; callers keep long spans apart.
     """
-    up, down = POWERS.reach(len(symbols) + 1)
+    up, down = powers.reach(len(symbols) + 1)
     prefix = np.zeros(len(symbols) + 1, np.uint64)
     np.cumsum((symbols.astype(np.uint64) + np.uint64(0x1000193)) * up[:-1], out=prefix[1:])
     return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import changes, chunks, cut, drop_cut, mix64, texts_of, whole_groups
+from .common import changes, cut, drop_cut, mix64, parts, texts_of, whole_groups
 from .components import components
 from .shingles import Shingles
 
@@ -69,11 +69,9 @@ def count_cells(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            for a, b in chunks(texts):
-                cells = Shingles(texts[a:b], size).hashes >> np.uint64(64 - CELL_BITS)
-                held += np.bincount(cells.astype(np.int64), minlength=len(held))
+        for part in parts(batches, "text"):
+            cells = Shingles(texts_of(part, "text"), size).hashes >> np.uint64(64 - CELL_BITS)
+            held += np.bincount(cells.astype(np.int64), minlength=len(held))
         cells = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(held[cells])], ["cell", "n"])
 
@@ -126,24 +124,22 @@ def signatures(docs: DataFrame, idf: np.ndarray, size: int) -> DataFrame:
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            for a, b in chunks(texts):
-                s = Shingles(texts[a:b], size)
-                some = np.diff(s.bounds) > 0
-                keys, lists = [], np.zeros((b - a, SAMPLES), np.int32)
+        for part in parts(batches, "text"):
+            count = part.num_rows
+            s = Shingles(texts_of(part, "text"), size)
+            some = np.diff(s.bounds) > 0
+            keys, lists = [], np.zeros((count, SAMPLES), np.int32)
+            if some.any():
+                lists[some] = sample(s, idf)
+            firsts = s.bounds[:-1][some]
+            for salt in (1, 2):
+                key = np.zeros(count, np.int64)
                 if some.any():
-                    lists[some] = sample(s, idf)
-                firsts = s.bounds[:-1][some]
-                for salt in (1, 2):
-                    key = np.zeros(b - a, np.int64)
-                    if some.any():
-                        each = mix64((s.hashes + s.counts.astype(np.uint64)) * _KEYS[salt])
-                        key[some] = np.add.reduceat(each, firsts).view(np.int64)
-                    keys.append(pa.array(key, mask=~some))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * SAMPLES), pa.array(lists.ravel()))
-                own = [c.slice(a, b - a) for c in (batch.column(0), batch.column(1))]
-                yield pa.RecordBatch.from_arrays([*own, *keys, flat], ["doc_id", "uid", "k1", "k2", "samples"])
+                    each = mix64((s.hashes + s.counts.astype(np.uint64)) * _KEYS[salt])
+                    key[some] = np.add.reduceat(each, firsts).view(np.int64)
+                keys.append(pa.array(key, mask=~some))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * SAMPLES), pa.array(lists.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *keys, flat], ["doc_id", "uid", "k1", "k2", "samples"])
 
     return docs.select("doc_id", "uid", "text").mapInArrow(run, f"doc_id {id_type}, uid bigint, k1 bigint, k2 bigint, samples array<int>")
 
@@ -155,32 +151,31 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
     both = one.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v, a, b = (c.to_pylist() for c in batch.columns)
-            for x, y in chunks([p + q for p, q in zip(a, b, strict=True)]):
-                # Rows of one u come together: its text is read once.
-                place: dict = {}
-                texts: list[str] = []
-                for ids, own in ((u, a), (v, b)):
-                    for i in range(x, y):
-                        if ids[i] not in place:
-                            place[ids[i]] = len(texts)
-                            texts.append(own[i])
-                s = Shingles(texts, size)
-                w = weights(s, idf)
-                total = np.add.reduceat(np.append(w, 0), s.bounds[:-1])
-                told = []
-                for i in range(x, y):
-                    p, q = place[u[i]], place[v[i]]
-                    (pa_, pb), (qa, qb) = s.bounds[p : p + 2], s.bounds[q : q + 2]
-                    at = np.searchsorted(s.hashes[pa_:pb], s.hashes[qa:qb])
-                    at[at == pb - pa_] = 0
-                    same = s.hashes[pa_:pb][at] == s.hashes[qa:qb]
-                    shared = np.minimum(w[pa_:pb][at[same]], w[qa:qb][same]).sum()
-                    told.append(shared / (total[p] + total[q] - shared))
-                told = np.array(told)
-                hit = pa.array(np.flatnonzero(told >= threshold - 1e-12) + x)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(hit), batch.column(1).take(hit), pa.array(told[hit.to_numpy() - x])], ["u", "v", "similarity"])
+        for part in parts(batches, "b"):
+            u, v, a, b = (c.to_pylist() for c in part.columns)
+            # Rows of one u come together: its text is read once.
+            place: dict = {}
+            texts: list[str] = []
+            for ids, own in ((u, a), (v, b)):
+                for i, text in zip(ids, own, strict=True):
+                    if i not in place:
+                        place[i] = len(texts)
+                        texts.append(text)
+            s = Shingles(texts, size)
+            w = weights(s, idf)
+            total = np.add.reduceat(np.append(w, 0), s.bounds[:-1])
+            told = []
+            for x, y in zip(u, v, strict=True):
+                p, q = place[x], place[y]
+                (pa_, pb), (qa, qb) = s.bounds[p : p + 2], s.bounds[q : q + 2]
+                at = np.searchsorted(s.hashes[pa_:pb], s.hashes[qa:qb])
+                at[at == pb - pa_] = 0
+                same = s.hashes[pa_:pb][at] == s.hashes[qa:qb]
+                shared = np.minimum(w[pa_:pb][at[same]], w[qa:qb][same]).sum()
+                told.append(shared / (total[p] + total[q] - shared))
+            told = np.array(told)
+            hit = np.flatnonzero(told >= threshold - 1e-12)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(hit)), part.column(1).take(pa.array(hit)), pa.array(told[hit])], ["u", "v", "similarity"])
 
     return both.mapInArrow(run, f"u {id_type}, v {id_type}, similarity double")
 
@@ -190,12 +185,10 @@ def wide_samples(texts: DataFrame, idf: np.ndarray, size: int) -> DataFrame:
     id_type = dict(texts.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = texts_of(batch, "text")
-            for a, b in chunks(own):
-                made = sample(Shingles(own[a:b], size), idf, WIDE)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * WIDE), pa.array(made.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), flat], ["rep", "samples"])
+        for part in parts(batches, "text"):
+            made = sample(Shingles(texts_of(part, "text"), size), idf, WIDE)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * WIDE), pa.array(made.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), flat], ["rep", "samples"])
 
     return texts.select("doc_id", "text").mapInArrow(run, f"rep {id_type}, samples array<int>")
 

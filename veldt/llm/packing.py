@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import PieceCache
-from .common import chunks, cut, texts_of
+from .common import cut, parts, texts_of
 from .pieces import Split
 
 
@@ -109,15 +109,34 @@ def _tokenizer(path: str):
 
 
 def encode_pieces(path: str):
-    """Ids of single pieces by the tokenizers library; the pattern leaves a piece whole."""
+    """Ids of single pieces by the tokenizers library; the pattern leaves a piece whole.
+
+    Pieces of a space and a sign of another kind are put behind each other, as the pattern parts them
+    there again: one call for many costs less than one for each.
+    """
     model = _tokenizer(path)
 
-    def encode(pieces: list[bytes]) -> list[np.ndarray]:
-        out = []
-        for a in range(0, len(pieces), 4096):
-            part = [p.decode() for p in pieces[a : a + 4096]]
-            out += [np.array(e.ids, np.uint32) for e in model.encode_batch_fast(part, add_special_tokens=False)]
-        return out
+    def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words = [p.decode() for p in pieces]
+        size = np.zeros(len(words), np.int64)
+        joined = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace()]
+        single = np.setdiff1d(np.arange(len(words)), joined).tolist()
+        found = [np.zeros(0, np.uint32)]
+        for a in range(0, len(joined), 256):
+            own = joined[a : a + 256]
+            told = model.encode("".join([words[i] for i in own]), add_special_tokens=False)
+            size[own] = np.bincount(np.array(told.word_ids), minlength=len(own))
+            found.append(np.array(told.ids, np.uint32))
+        for a in range(0, len(single), 256):
+            own = single[a : a + 256]
+            made = [e.ids for e in model.encode_batch_fast([words[i] for i in own], add_special_tokens=False)]
+            size[own] = np.fromiter(map(len, made), np.int64, len(made))
+            found.append(np.array([i for ids in made for i in ids], np.uint32))
+        order = np.array([*joined, *single], np.int64)
+        n, ends = size[order], np.cumsum(size)
+        flat = np.zeros(ends[-1] if len(ends) else 0, np.uint32)
+        flat[np.arange(len(flat)) + np.repeat((ends - size)[order] - (np.cumsum(n) - n), n)] = np.concatenate(found)
+        return flat, size
 
     return encode
 
@@ -170,39 +189,38 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            for a, b in chunks(texts):
-                ids, edges = encode_whole(texts[a:b], tokenizer_path)
-                total = np.diff(edges) + 1
-                pieces = -(-total // capacity)
-                row = np.repeat(np.arange(b - a), pieces)
-                number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                first = total - (pieces - 1) * capacity
-                start = np.where(number == 0, 0, first[row] + (number - 1) * capacity)
-                length = np.where(number == 0, first[row], capacity)
-                # Room for the end id after each document.
-                flat = np.full(len(ids) + (b - a), end_id, "<u4")
-                flat[np.arange(len(ids)) + np.repeat(np.arange(b - a), np.diff(edges))] = ids
-                raw, at = memoryview(flat.tobytes()), (edges[:-1] + np.arange(b - a))[row] + start
-                crc = [zlib.crc32(raw[4 * x : 4 * (x + n)]) for x, n in zip(at.tolist(), length.tolist(), strict=True)]
-                order = np.argsort(length, kind="stable")
-                sizes, count = np.unique(length, return_counts=True)
-                rank = np.empty(len(length), np.int64)
-                rank[order] = np.arange(len(length)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(seen[sizes], count)
-                seen[sizes] += count
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a).take(pa.array(row)),
-                        pa.array(number.astype(np.int32)),
-                        pa.array(start),
-                        pa.array(length),
-                        pa.array(np.array(crc, np.int64)),
-                        pa.array(np.full(len(row), task, np.int64)),
-                        pa.array(rank),
-                    ],
-                    ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"],
-                )
+        for part in parts(batches, "text"):
+            ids, edges = encode_whole(texts_of(part, "text"), tokenizer_path)
+            count = part.num_rows
+            total = np.diff(edges) + 1
+            pieces = -(-total // capacity)
+            row = np.repeat(np.arange(count), pieces)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first = total - (pieces - 1) * capacity
+            start = np.where(number == 0, 0, first[row] + (number - 1) * capacity)
+            length = np.where(number == 0, first[row], capacity)
+            # Room for the end id after each document.
+            flat = np.full(len(ids) + count, end_id, "<u4")
+            flat[np.arange(len(ids)) + np.repeat(np.arange(count), np.diff(edges))] = ids
+            raw, at = memoryview(flat.tobytes()), (edges[:-1] + np.arange(count))[row] + start
+            crc = [zlib.crc32(raw[4 * x : 4 * (x + n)]) for x, n in zip(at.tolist(), length.tolist(), strict=True)]
+            order = np.argsort(length, kind="stable")
+            sizes, own = np.unique(length, return_counts=True)
+            rank = np.empty(len(length), np.int64)
+            rank[order] = np.arange(len(length)) - np.repeat(np.cumsum(own) - own, own) + np.repeat(seen[sizes], own)
+            seen[sizes] += own
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).take(pa.array(row)),
+                    pa.array(number.astype(np.int32)),
+                    pa.array(start),
+                    pa.array(length),
+                    pa.array(np.array(crc, np.int64)),
+                    pa.array(np.full(len(row), task, np.int64)),
+                    pa.array(rank),
+                ],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"],
+            )
 
     schema = f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, rank bigint"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -13,7 +13,7 @@ import functools
 import numpy as np
 import regex
 
-from .common import span_hashes
+from .common import OTHER_POWERS, span_hashes
 
 LETTER, DIGIT, SIGN, SPACE = 1, 2, 3, 0
 #: Pieces above so many characters are never looked up by their hash.
@@ -46,7 +46,9 @@ class Split:
         ends = np.append(self.starts[1:], n) if n else self.starts
         #: For each text, the range of its pieces.
         self.bounds = np.searchsorted(self.starts, edges)
+        #: Two hashes over different bases: pieces that agree in both are taken as equal.
         self.hashes = span_hashes(points, self.starts, ends) if n else np.zeros(0, np.uint64)
+        self.checks = span_hashes(points, self.starts, ends, OTHER_POWERS) if n else np.zeros(0, np.uint64)
         self.long = (ends - self.starts) > LONG
         if len(self.utf8) == n:
             self.byte_starts, self.byte_ends = self.starts, ends
