@@ -1,6 +1,7 @@
 """Operators that read one text at a time, against plain forms and on awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -431,6 +432,98 @@ def test_decoding_is_the_best_path():
         assert max(itertools.product((0, 1), repeat=n), key=score) == tuple(c.decode(x).astype(int))
 
 
+def plain_features(text, words_of, prefixes_of):
+    """The features of one text, character by character and word by word."""
+    small = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    spans = [m.span() for m in re.finditer(r"\w+", text)]
+    words = [small[a:b] for a, b in spans]
+    n = max(len(words), 1)
+    weight = [words_of.get(w, 0) for w in words]
+    prefix = [max([prefixes_of.get(w[:k], 0) for k in toxicity.PREFIXES if len(w) > k], default=0) for w in words]
+    second = [i for i, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+    near = sum(any(abs(i - j) <= toxicity.NEAR for j in second) for i in range(len(words)) if weight[i] or prefix[i])
+    letters = max(len(re.findall("[A-Za-z]", text)), 1)
+    capitals = len(re.findall("[A-Z]", text))
+    shouted = sum(b - a > 2 and any(c.isupper() for c in text[a:b]) and not any(c.islower() for c in text[a:b]) for a, b in spans)
+    mixed = []
+    for m in re.finditer(r"[\w@$!*]+", text):
+        for a, b in spans:
+            own = text[a:b]
+            if m.start() <= a < m.end() and re.search(r"[^\W\d_]", own) and (re.search(r"\d", own) or text[b : b + 1] in list("@$!*")):
+                if m.end() - a >= 3:
+                    mixed.append(small[a : m.end()].translate(str.maketrans("0134578@$!", "oieastbasi")))
+                    break
+    masked = len(re.findall(r"(?<=[^\W\d_])[*@$#!]+(?=[^\W\d_])", text))
+    masked += len(re.findall(r"(?<![^\W\d_])(?:[^\W\d_][.\-_ ]){3,}[^\W\d_](?![^\W\d_])", text))
+    size = max(len(text), 1)
+    among = lambda signs: sum(c in signs for c in text) / size
+    return [
+        math.log1p(len(words)), sum(w > 0 for w in weight) / n, sum(weight) / n, max(weight, default=0), sum(w > 0 for w in weight),
+        len({w for w, x in zip(words, weight, strict=True) if x}), sum(p > 0 for p in prefix) / n, max(prefix, default=0), sum(w in words_of for w in mixed),
+        near / n, len(second) / n, capitals / letters, shouted / n if capitals > 0.2 * letters else 0, among("!"), among("?"), among(".,;:!?'\"()-"),
+        among("#*$%&|<>@^~+="), among("0123456789"), len(mixed) / n, masked / n, len(re.findall(r"([^\W\d_])\1{2,}", text)) / n, sum(map(len, words)) / n,
+    ]
+
+
+def test_toxicity_features_are_the_plain_ones():
+    words, prefixes = {"vile": 2.0, "rot": 1.5, "you": 0.5, "sh_t": 3.0}, {"dung": 1.0, "vileho": 2.5}
+    lexicon = toxicity.Lexicon.of(words, prefixes)
+    texts = [t or "" for t in AWKWARD] + random_texts(150, 7) + random_texts(150, 8, "vileroYOUt  dung!$1@.-_ *#'é½İ²") + [
+        "You VILE rotten v1le fellow, sooooo v!le you!!", "r.o.t. r o t s r-o-t-s you", "a*b*c d@e f**k", "VILEHORSE vilehorse dungface ya", "x " * 1500 + "vile",
+    ]
+    got = toxicity.measure(texts, lexicon)
+    for text, row in zip(texts, got, strict=True):
+        for name, x, y in zip(toxicity.FEATURES, row, plain_features(text, words, prefixes), strict=True):
+            assert x == pytest.approx(y, abs=1e-12), (name, text[:100])
+    assert (toxicity.measure(texts[5:6], lexicon) == got[5:6]).all()
+
+
+def test_the_lexicon_has_every_term_that_passes(spark):
+    """Thousands of terms, by a plain count; there is no cap."""
+    r = random.Random(5)
+    rows = []
+    for i in range(400):
+        toxic = int(i % 4 == 0)
+        rows.append((i, " ".join([f"w{r.randrange(2000)}" for _ in range(30)] + [f"bad{j}x" for j in range(3000)] * toxic), toxic, i % 8 // 4))
+    frame_ = spark.createDataFrame(rows, "doc_id long, text string, toxic int, fold int")
+    lexicons = toxicity.learn_lexicons(frame_)
+    for folds, lexicon in zip(((0,), (1,), (0, 1)), lexicons, strict=True):
+        own = [(set(t.split()), y) for _, t, y, f in rows if f in folds]
+        share = sum(y for _, y in own) / len(own)
+        wanted = {}
+        for kind, terms in (("words", lambda w: {w}), ("prefixes", lambda w: {w[:k] for k in toxicity.PREFIXES if len(w) > k})):
+            n, k = {}, {}
+            for words, y in own:
+                for t in set().union(*map(terms, words)):
+                    n[t], k[t] = n.get(t, 0) + 1, k.get(t, 0) + y
+            for t in n:
+                a = k[t] / n[t]
+                if k[t] >= 4 and a > 2 * share:
+                    tail = -n[t] * (a * math.log(a / share) + ((1 - a) * math.log((1 - a) / (1 - share)) if a < 1 else 0))
+                    if tail < -14:
+                        wanted.setdefault(kind, {})[t] = math.log((k[t] + 0.5) / (n[t] - k[t] + 0.5) * (1 - share) / share)
+        assert len(lexicon.words.hashes) == len(wanted["words"]) == 3000 and len(lexicon.prefixes.hashes) == len(wanted["prefixes"])
+        same = toxicity.Lexicon.of(wanted["words"], wanted["prefixes"])
+        assert (same.words.hashes == lexicon.words.hashes).all() and same.words.weights == pytest.approx(lexicon.words.weights)
+        assert (same.prefixes.hashes == lexicon.prefixes.hashes).all()
+
+
+def test_trees_score_as_a_walk_through_each():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 5))
+    trees = toxicity.fit_trees(x, (x[:, 2] + r.normal(size=300) > 0).astype(float), rounds=12)
+    for row, told in zip(x, trees.score(x), strict=True):
+        total = trees.start
+        for f, c, leaf in zip(trees.features, trees.cuts, trees.leaves, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > c[node] else 1)
+            total += leaf[node - len(f)]
+        assert told == pytest.approx(total)
+
+
 def toxic_rows(n, seed):
     r = random.Random(seed)
     vocabulary = ["".join(r.choice("bdfgklmn") + r.choice("aeiou") for _ in range(3)) for _ in range(300)]

@@ -154,13 +154,22 @@ POWERS = Powers(0x9E3779B97F4A7C15)
 OTHER_POWERS = Powers(0xD1342543DE82EF95)
 
 
-def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
-    """A 64-bit hash of each ``symbols[start:end]``, equal for equal spans wherever they stand.
+class Spans:
+    """64-bit hashes of spans of a sequence of symbols, equal for equal spans wherever they stand.
 
     Prefix sums of symbol times power make every span a subtraction. Such a polynomial
     modulo 2**64 is weak for spans of thousands of crafted symbols; callers keep long spans apart.
     """
-    up, down = powers.reach(len(symbols) + 1)
-    prefix = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum((symbols.astype(np.uint64) + np.uint64(0x1000193)) * up[:-1], out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+    def __init__(self, symbols: np.ndarray, powers: Powers = POWERS) -> None:
+        up, self.down = powers.reach(len(symbols) + 1)
+        self.prefix = np.zeros(len(symbols) + 1, np.uint64)
+        np.cumsum((symbols.astype(np.uint64) + np.uint64(0x1000193)) * up[:-1], out=self.prefix[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix64((self.prefix[ends] - self.prefix[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
+    """The hash of each ``symbols[start:end]``."""
+    return Spans(symbols, powers).hashes(starts, ends)

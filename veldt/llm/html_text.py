@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import parts, texts_of
 
 #: Elements that break a line of text.
 BLOCKS = frozenset(
@@ -404,9 +404,9 @@ def extract(pages: DataFrame, chain: Chain | None = None, *, id_col: str = "page
     types = dict(pages.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [page_text(p, model) for p in texts_of(batch, "html")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], ["page_id", "url", "text"])
+        for part in parts(batches, "html"):
+            made = [page_text(p, model) for p in texts_of(part, "html")]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(run, f"page_id {types[id_col]}, url {types[url_col]}, text string")

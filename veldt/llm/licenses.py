@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import parts, texts_of
 
 #: The public wordings of common license statements. A star is a hole of up to 12 words.
 TEMPLATES: list[tuple[str, str]] = [
@@ -250,9 +250,9 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(known)
-        for batch in batches:
-            found = [scanner.scan(t) if CUES.search(t) else [] for t in texts_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_SPAN))], ["doc_id", "found"])
+        for part in parts(batches, "text"):
+            found = [scanner.scan(t) if CUES.search(t) else [] for t in texts_of(part, "text")]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(_SPAN))], ["doc_id", "found"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {id_type}, found array<struct<start:int,end:int,license:string,template:int,saving:double>>")

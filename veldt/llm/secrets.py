@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, texts_of
+from .common import column, cut, parts, texts_of
 
 #: The kinds of spans, in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -165,15 +165,15 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     tested = pa.struct([*span, pa.field("length_class", pa.int32()), pa.field("step", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in parts(batches, "text"):
             shas, bases, tests = [], [], []
-            for text in texts_of(batch, "text"):
+            for text in texts_of(part, "text"):
                 base = base_spans(text)
                 shas.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest())
                 bases.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
                 tests.append([{"start": s, "kind": 3, "end": e, "length_class": c, "step": p} for s, e, c, p in candidates(text, base)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(shas, pa.string()), pa.array(bases, pa.list_(span)), pa.array(tests, pa.list_(tested))],
+                [part.column(0), pa.array(shas, pa.string()), pa.array(bases, pa.list_(span)), pa.array(tests, pa.list_(tested))],
                 ["doc_id", "base_sha256", "base", "tested"],
             )
 
@@ -221,9 +221,9 @@ def redact(docs: DataFrame, *, rate: float = 0.001, mark: str = "[SECRET]", id_c
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t if t is None else hide(t, least, mark) for t in column(batch, text_col)]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        for part in parts(batches, text_col):
+            texts = [t if t is None else hide(t, least, mark) for t in column(part, text_col)]
+            yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
 
