@@ -1,3 +1,6 @@
+import hashlib
+import random
+
 from veldt.functions import schnorr as s
 
 
@@ -32,3 +35,43 @@ def test_changed_bits_fail():
     assert not s.verify(b"n" * 32, key, sig)
     assert s.check(message.hex(), key.hex(), "zz" * 64) == s.BAD_SIGNATURE
     assert s.check(message.hex(), "00", sig.hex()) == s.BAD_KEY
+
+
+def _signed(secrets, n):
+    rows = []
+    for i in range(n):
+        message = hashlib.sha256(str(i).encode()).digest()
+        key, sig = s.sign(message, secrets[i % len(secrets)])
+        rows.append([message.hex(), key.hex(), sig.hex()])
+    return rows
+
+
+def test_a_batch_says_what_one_at_a_time_says():
+    """Keys of one and of many signatures, broken in every way, on both sides of the table rule."""
+    rows = _signed([3, 5, 3, 2**200 + 9, 3], 30) + _signed(range(100, 130), 30)
+    r = random.Random(1)
+    for i in range(0, 60, 3):
+        column, place = r.randrange(3), r.randrange(64)
+        old = rows[i][column][place]
+        rows[i][column] = rows[i][column][:place] + ("0" if old != "0" else "7") + rows[i][column][place + 1 :]
+    rows += [["00" * 32, "ee" * 32, "zz"], ["00" * 32, "11" * 31, "cc" * 64], ["00" * 32, rows[1][1], "ff" * 64], ["00" * 32, rows[1][1], "cc" * 32 + "ff" * 32]]
+    rows += [["00" * 32, f"{s.G[0]:064x}", "00" * 32 + f"{k:064x}"] for k in (0, 1, s.N - 1)]
+    told = s.check_all(*zip(*rows, strict=True))
+    assert told == [s.check(*row) for row in rows]
+    assert told.count(s.OK) > 30 and s.BAD_KEY in told and s.BAD_SIGNATURE in told and s.MISMATCH in told
+    assert s.check_all([None, "00" * 32], ["a", None], ["b", "c"]) == [None, None] and s.check_all([], [], []) == []
+
+
+def test_sums_of_equal_and_opposite_points():
+    g, minus = s.G, (s.G[0], s.P - s.G[1])
+    double = s.add_all([g], [g])[0]
+    assert s.add_all([g, g, None, g, None], [g, minus, g, None, None]) == [double, None, g, g, None]
+    tables = s.windows_of([g, double], 4)
+    assert tables[0][0][2] == double and tables[1][0][1] == double and tables[0][1][1] == s.add_all([tables[0][0][15]], [g])[0]
+
+
+def test_halves_are_short():
+    r = random.Random(2)
+    for k in [0, 1, s.N - 1, s.LAMBDA, *(r.randrange(s.N) for _ in range(300))]:
+        a, b = s.halves(k)
+        assert (a + b * s.LAMBDA - k) % s.N == 0 and max(abs(a), abs(b)) < 2**132
