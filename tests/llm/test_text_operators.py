@@ -293,6 +293,9 @@ def test_secrets(spark):
         assert set(base.split(",")) <= set(r.spans.split(",")) if base else True
     keys = [i for i, t in enumerate(texts) if t and t.startswith("thing ")]
     assert sum(scanned[i].spans == "random:6:50" for i in keys) >= 19
+    long = "aa bb\n" * 30_000 + "password=hunter22 " + "k9" * 9 + "\n"
+    told = secrets.digest(secrets.scan(frame(spark, [long, long]))).collect()
+    assert [r.spans for r in told] == ["assign:180000:180017"] * 2
     assert scanned[len(texts) - 1].spans in ("", "random:0:27")  # a name that looks like base62
     hidden = {r.doc_id: r.text for r in secrets.redact(frame(spark, texts)).collect()}
     assert hidden[0] is None and hidden[1] == "" and hidden[keys[0]] == "thing [SECRET] thing" and hidden[11] == '[SECRET]"'
@@ -300,9 +303,46 @@ def test_secrets(spark):
 
 
 def test_false_discovery_thresholds():
+    classes = len(secrets.ENCODINGS) * (len(secrets.CLASSES) + 1)
     assert secrets.thresholds({(0, 500): 3, (0, 10): 97}, 0.01)[0] == 500
-    assert secrets.thresholds({}, 0.01) == {k: secrets.MOST_STEPS + 1 for k in range(4)}
-    assert secrets.test_token("abcdefghijklmnopqrstuvwxyz0123456789") is None and secrets.test_token("A1" * 12) is None
+    assert secrets.thresholds({}, 0.01) == {k: secrets.MOST_STEPS + 1 for k in range(classes)}
+    null = secrets.fitted_null()
+    assert secrets.test_token("abcdefghijklmnopqrstuvwxyz0123456789", null) is None and secrets.test_token("A1" * 12, null) is None
+    r = random.Random(3)
+    for rate in (0.001, 0.01, 0.2):
+        steps = [r.choice([r.randrange(60), r.randrange(800)]) for _ in range(300)]
+        p = sorted(10 ** (-x / secrets.STEPS) for x in steps)
+        taken = max([i + 1 for i in range(len(p)) if p[i] <= rate * (i + 1) / len(p)], default=0)
+        least = secrets.thresholds({(5, x): steps.count(x) for x in steps}, rate)[5]
+        assert sum(x >= least for x in steps) == taken
+
+
+#: Least share of random tokens that are found where one token in twenty of their class is random, by encoding and length.
+RECALL = {
+    "hex": (0.88, 0.93, 0.97), "HEX": (0.85, 0.93, 0.97), "base32": (0.68, 0.78, 0.88), "base36": (0.8, 0.92, 0.97), "BASE36": (0.85, 0.92, 0.97),
+    "base62": (0.8, 0.92, 0.97), "base64": (0.68, 0.88, 0.93), "base64url": (0.72, 0.85, 0.95),
+}
+
+
+def test_random_tokens_of_every_encoding_are_found_among_ordinary_ones():
+    null, r = secrets.fitted_null(), random.Random(11)
+    for encoding, (name, _, alphabet) in enumerate(secrets.ENCODINGS):
+        for length, wanted in zip((20, 28, 40), RECALL[name], strict=True):
+            tokens = []
+            while len(tokens) < 40:
+                token = "".join(r.choice(alphabet) for _ in range(length))
+                tokens += [(token, True)] * (secrets.encoding_of(token) == encoding)
+            tokens += [(secrets.ordinary(encoding, length, r), False) for _ in range(760)]
+            told = [(secrets.test_token(t, null), is_random) for t, is_random in tokens]
+            told = [(min(secrets.MOST_STEPS, max(0, int(-x[1] * secrets.STEPS))) if x else -1, is_random) for x, is_random in told]
+            counts = {}
+            for step, _ in told:
+                if step >= 0:
+                    counts[0, step] = counts.get((0, step), 0) + 1
+            least = secrets.thresholds(counts, 0.01)[0]
+            found = [is_random for step, is_random in told if step >= least]
+            assert sum(found) >= (wanted - 0.12) * 40, (name, length, sum(found))
+            assert len(found) - sum(found) <= 4, (name, length, len(found), sum(found))
 
 
 def test_licenses(spark):

@@ -1,13 +1,15 @@
 """Secret scans: fixed patterns, and a randomness test battery with false-discovery control.
 
-Base spans come from three patterns. The battery looks at every other token that some encoding may
-have produced (hex, base32, base64 and so on). Its null hypothesis is "ordinary text": letters of
-uneven frequency, long stretches of one kind of character, neighbours that resemble each other.
-Three statistics of a token give one-sided p-values under that null: chi-squared against a uniform
-alphabet, the number of runs of character kinds, and the serial correlation of neighbours. They are
-combined (Stouffer); their reach grows with length, so tokens are ranked within length classes and
-the Benjamini-Hochberg rule, over all tokens of the corpus, sets each class's threshold. A token
-that the same tests refuse as random (too even, too regular) is no secret either.
+Base spans come from three patterns. The battery looks at every other token of ``LEAST_LENGTH`` characters
+or more that some encoding may have produced (hex, base32, base64 and so on); below that length its tests
+tell too little. Three statistics of a token are taken in its inferred encoding: chi-squared against a
+uniform alphabet, the share of changes of character kind between neighbours, and the serial correlation of
+neighbours. The null hypothesis is "an ordinary token of this encoding and length": words, numbers and dates
+put together as such tokens are (``ordinary``). It is fitted for each encoding and length on generated
+tokens: the weights of the three statistics, and mean and spread of their weighted sum, so a p-value means
+the same for all of them. The sum gives a one-sided p-value (towards randomness). Tokens are ranked within
+classes of encoding and length, and the Benjamini-Hochberg rule, over all tokens of the corpus, sets each
+class's threshold. A token that the same tests refuse as random (too even, too regular) is no secret either.
 
 p-values are rounded up to hundredths of a power of ten, so the counts that the driver sees are a
 table of fixed size, whatever the corpus. Texts are scanned whole; null counts as empty; rows are
@@ -16,11 +18,17 @@ independent, so ties, repeated rows and extra columns need no rule; an empty tab
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import math
+import operator
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,10 +60,13 @@ ENCODINGS = [
     ("base64", re.compile(r"(?=.+[A-Z])(?=.*[a-z])(?=.*[0-9])[A-Za-z0-9+/]+"), _UPPER + _LOWER + _DIGITS + "+/"),
     ("base64url", re.compile(r"(?=.+[A-Z])(?=.*[a-z])(?=.*[0-9])[A-Za-z0-9_-]+"), _UPPER + _LOWER + _DIGITS + "-_"),
 ]
+_PLACES = [{c: i for i, c in enumerate(alphabet)} for _, _, alphabet in ENCODINGS]
+#: The kind of a character: digit, small letter, capital, sign.
+_KIND = {c: k for k, signs in enumerate((_DIGITS, _LOWER, _UPPER, "+/-_")) for c in signs}
 #: Upper ends of the length classes.
 CLASSES = (28, 40, 64)
-#: Chance of a change of character kind, sum of squared character shares, and serial correlation in ordinary text.
-TEXT_CHANGE, TEXT_SQUARES, TEXT_SERIAL = 0.2, 0.066, 0.3
+#: Lengths for which the null is fitted, on so many generated tokens each; it is linear in between.
+FITTED, EACH = (20, 25, 32, 44, 72, 160), 600
 #: A token less random than this by any test, on either side, is none.
 LEAST_RANDOM = 1e-4
 STEPS = 100
@@ -80,51 +91,141 @@ def _normal_of_chi(x: float, df: float) -> float:
     return ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
 
 
-def test_token(token: str) -> tuple[str, float] | None:
+def encoding_of(body: str) -> int | None:
+    """The narrowest encoding that a token looks like."""
+    return next((i for i, (_, looks, _) in enumerate(ENCODINGS) if looks.fullmatch(body)), None)
+
+
+#: What ordinary tokens are made of.
+_WORDS = (
+    "account address admin alert archive article backup banner basic blog book build button cache calendar center change chapter client cloud "
+    "column comment common config connect contact content control country create current data default delete design detail device display "
+    "document domain download editor email engine event example export feature filter folder format frame front global group header health "
+    "history home image import index input item label language library list local login main manager market master media member menu message "
+    "method mobile model module music network news notice number object office online option order page panel payment people phone photo"
+).split()
+_HEX_WORDS = "dead beef cafe face babe feed bead fade decade facade added deed ace bad dad fee abc abcdef ff ee aa".split()
+
+
+def ordinary(encoding: int, length: int, r: random.Random) -> str:
+    """An ordinary token of an encoding: words, numbers, dates and counters, joined as is usual for it."""
+    name = ENCODINGS[encoding][0]
+
+    def number() -> str:
+        kind = r.random()
+        if kind < 0.35:
+            return f"{r.randint(1990, 2030)}{r.randint(1, 12):02d}{r.randint(1, 28):02d}"[: r.choice([4, 6, 8])]
+        if kind < 0.6:
+            return str(r.randint(0, 99)).zfill(r.choice([2, 3, 4, 8]))
+        return str(r.randint(0, 10 ** r.randint(1, 5)))
+
+    while True:
+        out = ""
+        while len(out) < length:
+            if name in ("hex", "HEX"):
+                piece = r.choice(_HEX_WORDS) if r.random() < 0.4 else number() if r.random() < 0.8 else r.choice("0123456789abcdef") * r.randint(2, 8)
+            else:
+                piece = r.choice(_WORDS) if r.random() < 0.75 else number()
+            if name in ("base62", "base64", "base64url"):
+                piece = piece.capitalize() if r.random() < 0.6 else piece
+            if name in ("base64", "base64url") and out and r.random() < 0.6:
+                piece = r.choice("+/" if name == "base64" else "-_") + piece
+            out += piece
+        out = out[:length]
+        if name in ("HEX", "base32", "BASE36"):
+            out = out.upper()
+        if name == "base32":
+            out = out.translate(str.maketrans("0189", "2345"))
+        if encoding_of(out) == encoding:
+            return out
+
+
+def statistics(body: str, encoding: int) -> tuple[float, float, float]:
+    """Chi-squared over its degrees of freedom, the share of changes of kind, the serial correlation."""
+    place = _PLACES[encoding]
+    size, n = len(place), len(body)
+    values = [place[c] for c in body]
+    chi = sum((k - n / size) ** 2 - (n / size) ** 2 for k in Counter(values).values()) * size / n + n
+    kinds = [_KIND[c] for c in body]
+    changes = sum(map(operator.ne, kinds, kinds[1:]))
+    mean = sum(values) / n
+    spread = sum((v - mean) ** 2 for v in values)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(values, values[1:], strict=False)) / spread if spread else 1.0
+    return chi / (size - 1), changes / (n - 1), serial
+
+
+#: Upper tails at which the null is held against the normal distribution, and its values there.
+TAILS = ((0.02, 2.054), (0.01, 2.326), (0.005, 2.576))
+#: For each encoding and fitted length: the weights of the three statistics and the mean of their weighted sum, whose spread is 1 at most.
+Null = dict[int, list[tuple[float, ...]]]
+
+
+@functools.cache
+def fitted_null() -> Null:
+    """The null, fitted on generated tokens from a fixed seed; some seconds, once on the driver.
+
+    The weights are those that set random tokens of the encoding furthest apart from ordinary ones, by the means
+    of both and the covariance of the ordinary ones.
+    """
+    r, out = random.Random(7), {}
+    for encoding, (_, _, alphabet) in enumerate(ENCODINGS):
+        rows = []
+        for length in FITTED:
+            told = np.array([statistics(ordinary(encoding, length, r), encoding) for _ in range(EACH)])
+            even = np.array([statistics("".join(r.choices(alphabet, k=length)), encoding) for _ in range(EACH)])
+            spread = np.cov(told.T) + 1e-9 * np.eye(3)
+            weights = np.linalg.solve(spread, even.mean(axis=0) - told.mean(axis=0))
+            weights /= math.sqrt(weights @ spread @ weights)
+            sums = (told - told.mean(axis=0)) @ weights
+            # Where the upper tail is longer than the normal one, the tail is what counts.
+            weights /= max(1.0, *(float(np.quantile(sums, 1 - tail)) / z for tail, z in TAILS))
+            rows.append((*weights.tolist(), float(weights @ told.mean(axis=0))))
+        out[encoding] = rows
+    return out
+
+
+def null_at(null: Null, encoding: int, length: int) -> tuple[float, ...]:
+    """What is fitted for an encoding at any length; beyond the longest fitted one, as there."""
+    rows = null[encoding]
+    k = bisect.bisect_right(FITTED, length)
+    if k == 0 or k == len(FITTED):
+        return rows[min(k, len(FITTED) - 1)]
+    share = (length - FITTED[k - 1]) / (FITTED[k] - FITTED[k - 1])
+    return tuple(a + share * (b - a) for a, b in zip(rows[k - 1], rows[k], strict=True))
+
+
+def test_token(token: str, null: Null) -> tuple[int, float] | None:
     """The encoding of a token and the log10 of its combined p-value; None if it is no candidate."""
     body = token.rstrip("=")
     n = len(body)
-    if n < LEAST_LENGTH or _UUID.fullmatch(body):
-        return None
-    for name, looks, alphabet in ENCODINGS:
-        if looks.fullmatch(body):
-            break
-    else:
+    if n < LEAST_LENGTH or _UUID.fullmatch(body) or (encoding := encoding_of(body)) is None:
         return None
+    alphabet = ENCODINGS[encoding][2]
     size = len(alphabet)
-    values = [alphabet.index(c) for c in body]
-    counts = [0] * size
-    for v in values:
-        counts[v] += 1
-    chi = sum((c - n / size) ** 2 for c in counts) * size / n
-    kinds = [0 if c in _DIGITS else 1 if c in _LOWER else 2 if c in _UPPER else 3 for c in body]
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    chi, changes, serial = stats = statistics(body, encoding)
     shares = [sum(a.isdigit() for a in alphabet), sum(a in _LOWER for a in alphabet), sum(a in _UPPER for a in alphabet)]
     shares.append(size - sum(shares))
     same = sum((s / size) ** 2 for s in shares)
-    mean = sum(values) / n
-    spread = sum((v - mean) ** 2 for v in values)
-    serial = sum((a - mean) * (b - mean) for a, b in zip(values, values[1:], strict=False)) / spread if spread else 1.0
     # How far each statistic lies from what random characters give.
     far = [
-        _normal_of_chi(chi, size - 1),
-        (changes - (n - 1) * (1 - same)) / math.sqrt((n - 1) * same * (1 - same)),
+        _normal_of_chi(chi * (size - 1), size - 1),
+        (changes - (1 - same)) * math.sqrt((n - 1) / (same * (1 - same))),
         (serial + 1 / n) * math.sqrt(n),
     ]
     if any(2 * _upper_tail(abs(z)) < LEAST_RANDOM for z in far):
         return None
-    # How far it lies from what text gives, towards randomness.
-    excess = n * max(size * TEXT_SQUARES - 1, 0.2)
-    text_chi = (size - 1 + excess - chi) / math.sqrt(2 * (size - 1) + 4 * excess)
-    text_runs = (changes - (n - 1) * TEXT_CHANGE) / math.sqrt((n - 1) * TEXT_CHANGE * (1 - TEXT_CHANGE))
-    text_serial = (TEXT_SERIAL - serial) * math.sqrt(n)
-    z = (text_chi + text_runs + text_serial) / math.sqrt(3)
-    p = _upper_tail(z)
-    return name, math.log10(p) if p > 0 else -MOST_STEPS / STEPS
+    *weights, mean = null_at(null, encoding, n)
+    p = _upper_tail(sum(w * x for w, x in zip(weights, stats, strict=True)) - mean)
+    return encoding, math.log10(p) if p > 0 else -MOST_STEPS / STEPS
+
+
+def class_of(encoding: int, length: int) -> int:
+    """The number of the class of an encoding and a length."""
+    return encoding * (len(CLASSES) + 1) + sum(length > most for most in CLASSES)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, length class, step) of the tested tokens that no base span touches.
+def candidates(text: str, base: list[tuple[int, int, int]], null: Null) -> list[tuple[int, int, int, int]]:
+    """(start, end, class, step) of the tested tokens that no base span touches.
 
     The step is the p-value in hundredths of a power of ten, rounded towards 1.
     """
@@ -135,16 +236,15 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             k += 1
         if any(s < end and e > start for s, e in taken[k : k + 4]):
             continue
-        if told := test_token(m.group()):
-            kind = sum(end - start > most for most in CLASSES)
-            out.append((start, end, kind, min(MOST_STEPS, max(0, int(-told[1] * STEPS)))))
+        if told := test_token(m.group(), null):
+            out.append((start, end, class_of(told[0], end - start), min(MOST_STEPS, max(0, int(-told[1] * STEPS)))))
     return out
 
 
 def thresholds(counts: dict[tuple[int, int], int], rate: float) -> dict[int, int]:
-    """For each length class the least step that the Benjamini-Hochberg rule takes."""
+    """For each class of encoding and length the least step that the Benjamini-Hochberg rule takes."""
     out = {}
-    for kind in range(len(CLASSES) + 1):
+    for kind in range(len(ENCODINGS) * (len(CLASSES) + 1)):
         own = sorted(((step, n) for (c, step), n in counts.items() if c == kind), reverse=True)
         total, held, least = sum(n for _, n in own), 0, MOST_STEPS + 1
         for step, n in own:
@@ -155,14 +255,15 @@ def thresholds(counts: dict[tuple[int, int], int], rate: float) -> dict[int, int
     return out
 
 
-_FOUND = "base array<struct<start:int,kind:int,end:int>>, tested array<struct<start:int,kind:int,end:int,length_class:int,step:int>>"
+_FOUND = "base array<struct<start:int,kind:int,end:int>>, tested array<struct<start:int,kind:int,end:int,token_class:int,step:int>>"
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base spans and tested tokens of each text: doc_id, base_sha256, base, tested. One narrow pass."""
     id_type = docs.schema[id_col].dataType.simpleString()
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-    tested = pa.struct([*span, pa.field("length_class", pa.int32()), pa.field("step", pa.int32())])
+    null = fitted_null()
+    tested = pa.struct([*span, pa.field("token_class", pa.int32()), pa.field("step", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, "text"):
@@ -171,7 +272,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 base = base_spans(text)
                 shas.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest())
                 bases.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
-                tests.append([{"start": s, "kind": 3, "end": e, "length_class": c, "step": p} for s, e, c, p in candidates(text, base)])
+                tests.append([{"start": s, "kind": 3, "end": e, "token_class": c, "step": p} for s, e, c, p in candidates(text, base, null)])
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(shas, pa.string()), pa.array(bases, pa.list_(span)), pa.array(tests, pa.list_(tested))],
                 ["doc_id", "base_sha256", "base", "tested"],
@@ -183,17 +284,17 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 def learn_thresholds(found: DataFrame, rate: float) -> dict[int, int]:
     """Thresholds over all tested tokens of the corpus; the driver gets counts by class and step."""
-    each = found.select(F.explode("tested").alias("x")).groupBy("x.length_class", "x.step").count()
-    return thresholds({(r.length_class, r.step): r["count"] for r in each.collect()}, rate)
+    each = found.select(F.explode("tested").alias("x")).groupBy("x.token_class", "x.step").count()
+    return thresholds({(r.token_class, r.step): r["count"] for r in each.collect()}, rate)
 
 
-def scan(docs: DataFrame, *, rate: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All spans of each text: doc_id, base_sha256, spans (array of start, kind, end, in order)."""
     found = cut(find(docs, id_col=id_col, text_col=text_col))
     least = learn_thresholds(found, rate)
     limit = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
     added = F.transform(
-        F.filter("tested", lambda x: x["step"] >= limit[x["length_class"]]),
+        F.filter("tested", lambda x: x["step"] >= limit[x["token_class"]]),
         lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")),
     )
     return found.select("doc_id", "base_sha256", F.sort_array(F.concat("base", added)).alias("spans"))
@@ -210,7 +311,7 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *[count(k) for k in range(3)], "base_sha256", F.array_join(said, ",").alias("spans"), count(3))
 
 
-def redact(docs: DataFrame, *, rate: float = 0.001, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, *, rate: float = 0.01, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every found span replaced by ``mark``; all columns and rows stay.
 
     Texts are scanned twice, once for the thresholds and once to redact, rather than shuffled.
@@ -218,19 +319,19 @@ def redact(docs: DataFrame, *, rate: float = 0.001, mark: str = "[SECRET]", id_c
     """
     tested = find(docs, id_col=id_col, text_col=text_col).select("tested")
     least = learn_thresholds(tested, rate)
-    at = docs.columns.index(text_col)
+    at, null = docs.columns.index(text_col), fitted_null()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, text_col):
-            texts = [t if t is None else hide(t, least, mark) for t in column(part, text_col)]
+            texts = [t if t is None else hide(t, least, mark, null) for t in column(part, text_col)]
             yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def hide(text: str, least: dict[int, int], mark: str) -> str:
+def hide(text: str, least: dict[int, int], mark: str, null: Null) -> str:
     base = base_spans(text)
-    spans = [(s, e) for s, _, e in base] + [(s, e) for s, e, c, p in candidates(text, base) if p >= least[c]]
+    spans = [(s, e) for s, _, e in base] + [(s, e) for s, e, c, p in candidates(text, base, null) if p >= least[c]]
     out, at = [], 0
     end = -1
     for s, e in sorted(spans):
