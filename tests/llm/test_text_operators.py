@@ -364,6 +364,75 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def plain_alignments(words, template, most):
+    """For each start, the fewest changes to the template's words over all ends: (changes, start, end), telling words fixed."""
+    apart = lambda w: w in licenses.TELLING or any(c.isdigit() for c in w)
+    own, out = [w for p in template.parts for w in p], []
+    for start in range(len(words)):
+        row = {0: 0}
+        for token in [None, *own]:
+            then = {}
+            for j in range(min(len(words) - start, len(own) + most) + 1):
+                options = []
+                if token is None:
+                    options.append(0 if j == 0 else 10**6)
+                else:
+                    options.append(row[j] + (10**6 if apart(token) else 1))
+                    if j:
+                        word = words[start + j - 1]
+                        options.append(row[j - 1] + (0 if word == token else 10**6 if apart(word) or apart(token) else 1))
+                        options.append(then[j - 1] + (10**6 if apart(word) else 1))
+                then[j] = min(options)
+            row = then
+        end = min(row, key=lambda j: (row[j], j))
+        if row[end] <= most:
+            out.append((row[end], start, start + end))
+    return out
+
+
+def test_licenses_by_all_templates_on_all_places():
+    r = random.Random(21)
+    vocabulary = ["".join(r.choice(string.ascii_lowercase) for _ in range(r.randint(3, 9))) for _ in range(80)] + ["v2", "not", "mit"]
+    templates = [(f"L{k}", "license " + " ".join(r.choice(vocabulary) for _ in range(r.choice([6, 21, 30, 45])))) for k in range(8)]
+    scanner = licenses.Scanner(templates)
+    found = 0
+    for _ in range(40):
+        k = r.randrange(8)
+        own = templates[k][1].split()
+        for _ in range(r.choice([0, 0, 1, 2, 3])):
+            place = r.randrange(1, len(own))
+            own[place : place + 1] = r.choice([[], [r.choice(vocabulary)], [own[place], r.choice(vocabulary)]])
+        words = [r.choice(vocabulary) for _ in range(r.randint(0, 25))] + own + [r.choice(vocabulary) for _ in range(r.randint(0, 25))]
+        wanted = []
+        for name, template in zip([n for n, _ in templates], scanner.templates, strict=True):
+            some = plain_alignments(words, template, template.own // licenses.WORDS_A_CHANGE)
+            if some:
+                wanted.append((name, min(some)[0]))
+        got = scanner.scan(" ".join(words).replace("license", "license", 1))
+        assert [(f["license"], len(f["changes"])) for f in got] == wanted, (words, got)
+        found += len(got)
+    assert found > 15
+
+
+def test_licenses_with_differences(spark):
+    by_name = {n: t for n, t in licenses.TEMPLATES if len(t) > 100}
+    cases = [
+        (by_name["MIT"].replace("deal in", "trade in"), "MIT", 1),
+        (by_name["MIT"].replace(" The above", "\n\n   The above").replace("rights", "freedoms"), "MIT", 1),
+        (by_name["BSD-2-Clause"].replace(" 1.", "\n\n  1.").replace(" 2.", "\n\n  2.").replace("must retain", "shall retain"), "BSD-2-Clause", 1),
+        ("# " + by_name["ISC"].replace(", ", ",\n# ").replace("any purpose", "any use"), "ISC", 1),
+        (by_name["Apache-2.0"].replace("this file", "this work"), "Apache-2.0", 1),
+        (by_name["MIT"].replace("without restriction", "with restriction"), "", 0),
+        (by_name["MPL-2.0"].replace("v. 2.0", "v. 1.1"), "", 0),
+        ("SPDX-License-Identifier: BSD-3-Clause\n", "BSD-3-Clause", 0),
+        ("This tool is licensed under the GPL v3, see there.", "GPL-3.0", 0),
+        ("words " * 30_000 + "\nReleased under the GPLv2.\n" + "words " * 30_000, "GPL-2.0", 0),
+    ]
+    got = {r.doc_id: r for r in licenses.digest(licenses.scan(frame(spark, [t for t, _, _ in cases]))).collect()}
+    assert [(got[i].licenses, got[i].n_changes) for i in range(len(cases))] == [(n, k) for _, n, k in cases]
+    assert licenses.Scanner(licenses.TEMPLATES).scan(cases[0][0])[0]["changes"] == ["deal>trade"]
+
+
 def test_published_licenses(spark):
     """The published forms have blank lines between their paragraphs; other paragraphs and long texts stand around them."""
     cut_at = {"MIT": ("The above copyright",), "BSD-2-Clause": ("1. Redist", "2. Redist")}

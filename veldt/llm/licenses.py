@@ -2,14 +2,16 @@
 
 Candidate blocks reach from a licensing word by the length of the longest template on both sides, across
 lines and blank lines; its line and its paragraph are looked at by themselves too. Each block is compressed
-plainly and with every template as a raw zstandard dictionary; templates are ranked by how much
-their dictionary shortens the block, and the best ones are confirmed by exact wording: the words of
-the template, aligned with the block's, may differ only in the holes that the template leaves open
-(years, names, version numbers). A confirmed template yields a span.
+plainly and with every template as a raw zstandard dictionary; templates are ranked by how many bytes
+their dictionary saves, and those that save enough are confirmed in that order by exact wording: the words of
+the template are aligned with the block's and the differences listed. Years, names and other text in the
+holes that a template leaves open are no differences. A template is confirmed without any, or, if it is
+long, with one for every ``WORDS_A_CHANGE`` of its words, none of them at a word that tells licenses apart
+(numbers, names, negations). The words of a confirmed template are taken: one of lower rank can't have them.
 
 Whole texts are scanned: blocks that overlap are joined, and a long one is compressed in pieces that
 overlap by the longest template, which is counted in words. Null counts as the empty text, which has no blocks. Rows are
-independent: ties in shortening are broken by the template's place, repeated rows and other columns
+independent: ties in saving are broken by the template's place, repeated rows and other columns
 need no rule, an empty table gives no rows.
 """
 
@@ -104,7 +106,25 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, * has waived all copyright and related or neighboring rights to *"),
+    # The license is named by the word in the hole.
+    ("*", "SPDX-License-Identifier: *"),
 ]
+#: Names under which texts are said to be licensed or released.
+NAMES = {
+    "GPL-3.0": ["GPL v3", "GPLv3", "GPL-3.0", "GNU GPL v3", "GNU General Public License v3.0"],
+    "GPL-2.0": ["GPL v2", "GPLv2", "GPL-2.0", "GNU GPL v2", "GNU General Public License v2.0"],
+    "LGPL-2.1": ["LGPL v2.1", "LGPLv2.1"],
+    "AGPL-3.0": ["AGPL v3", "AGPLv3", "GNU Affero General Public License v3.0"],
+    "Apache-2.0": ["Apache License 2.0", "Apache 2.0 license", "Apache-2.0 license"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "MPL 2.0"],
+    "ISC": ["ISC License"],
+}
+TEMPLATES += [(license, f"{how} under the {name}") for license, names in NAMES.items() for name in names for how in ("Licensed", "Released")]
+#: Words at which no difference is allowed, besides those with digits.
+TELLING = frozenset("affero apache bsd commons creative free gnu general isc lesser library mit mozilla no noncommercial not or public sharealike without".split())
+#: A template may differ at one word for each so many of its own.
+WORDS_A_CHANGE = 20
 #: Words that may stand in a licensing block.
 CUES = re.compile(r"licen[sc]|permission|redistribut|public domain|free software|warranty|mozilla public|waived all|names of its", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -116,7 +136,7 @@ LEAST_SAVING = 0.2
 BLOCK_TEMPLATES = 16
 
 
-@dataclass(frozen=True)
+@dataclass
 class Template:
     license: str
     text: str
@@ -125,7 +145,19 @@ class Template:
 
     @property
     def words(self) -> int:
-        return sum(map(len, self.parts)) + HOLE_WORDS * (len(self.parts) - 1)
+        return self.own + HOLE_WORDS * (len(self.parts) - 1 + (self.license == "*"))
+
+    @property
+    def own(self) -> int:
+        return sum(map(len, self.parts))
+
+    @functools.cached_property
+    def threes(self) -> frozenset[tuple[str, ...]]:
+        return frozenset(p[i : i + 3] for p in self.parts for i in range(len(p) - 2))
+
+
+Found = tuple[int, int, list[str]]
+_HOLE = None
 
 
 def _words(text: str) -> list[str]:
@@ -187,13 +219,35 @@ class Scanner:
         yield from sorted(out)
 
     def _rank(self, block: str) -> list[tuple[float, int]]:
-        """(saving, template) for the templates that shorten the block, best first."""
+        """(saving, template) for the templates that save enough, most bytes first; a saving is a share."""
         raw = block.encode("utf-8", "replace")
         alone = len(self.plain.compress(raw))
-        told = [((alone - len(c.compress(raw))) / min(alone, self.own[i]), -i) for i, c in enumerate(self.given)]
-        return [(s, -i) for s, i in sorted(told, reverse=True) if s >= LEAST_SAVING]
+        told = [(alone - len(c.compress(raw)), -i) for i, c in enumerate(self.given)]
+        shares = [(saved / min(alone, self.own[-i]), -i) for saved, i in sorted(told, reverse=True)]
+        return [(s, i) for s, i in shares if s >= LEAST_SAVING]
 
-    def confirm(self, words: list[str], template: Template) -> Iterator[tuple[int, int]]:
+    def confirm(self, words: list[str], template: Template) -> Iterator[Found]:
+        """Ranges of words that are the template, and how they differ from it."""
+        exact = list(self._exact(words, template))
+        for start, end in exact:
+            yield start, end, []
+        most = template.own // WORDS_A_CHANGE
+        if not most:
+            return
+        # A change breaks three of the template's triples at most; a place of enough whole ones is aligned.
+        hits = [i for i in range(len(words) - 2) if tuple(words[i : i + 3]) in template.threes]
+        needed, reach = len(template.threes) - 3 * most, template.words + most
+        done = -1
+        for k, first in enumerate(hits):
+            if first < done or bisect.bisect_left(hits, first + reach) - k < needed:
+                continue
+            a, b = max(0, first - 3 * most - 3), min(len(words), first + reach + most)
+            for start, end, changes in align(words[a:b], template, most):
+                done = a + end
+                if all(a + end <= s or a + start >= e for s, e in exact):
+                    yield a + start, a + end, changes
+
+    def _exact(self, words: list[str], template: Template) -> Iterator[tuple[int, int]]:
         """Ranges of words that are the template word by word, holes aside."""
         first = template.parts[0]
         at = 0
@@ -203,7 +257,9 @@ class Scanner:
             except ValueError:
                 return
             if tuple(words[at : at + len(first)]) == first and (end := self._rest(words, at + len(first), template.parts[1:])):
-                yield at, end
+                end += template.license == "*"
+                if end <= len(words):
+                    yield at, end
                 at = end
             else:
                 at += 1
@@ -220,8 +276,8 @@ class Scanner:
         return at
 
     def scan(self, text: str) -> list[dict]:
-        """Confirmed spans in order: start, end, license, template, saving. Where spans overlap the longest stays."""
-        found = []
+        """Confirmed spans in order: start, end, license, template, saving, changes. Where spans of several blocks overlap the longest stays."""
+        found: list[dict] = []
         places = [m.span() for m in _WORD.finditer(text)]
         starts, ends = [s for s, _ in places], [e for _, e in places]
         words = [text[s:e].lower() for s, e in places]
@@ -229,18 +285,84 @@ class Scanner:
             if not (ranked := self.rank(text[x:y])):
                 continue
             a, b = bisect.bisect_left(starts, x), bisect.bisect_right(ends, y)
-            own = words[a:b]
+            own, taken = words[a:b], []
             for saving, i in ranked:
-                for s, e in self.confirm(own, self.templates[i]):
-                    found.append({"start": starts[a + s], "end": ends[a + e - 1], "license": self.templates[i].license, "template": i, "saving": round(saving, 6)})
+                for s, e, changes in self.confirm(own, self.templates[i]):
+                    if any(s < f and e > t for t, f in taken):
+                        continue
+                    taken.append((s, e))
+                    license = self.templates[i].license
+                    if license == "*":
+                        license = text[starts[a + e - 1] : ends[a + e - 1]]
+                    found.append(
+                        {"start": starts[a + s], "end": ends[a + e - 1], "license": license, "template": i, "saving": round(saving, 6), "changes": changes}
+                    )
         out: list[dict] = []
-        for f in sorted(found, key=lambda f: (f["start"] - f["end"], f["start"], f["template"])):
+        for f in sorted(found, key=lambda f: (f["start"] - f["end"], len(f["changes"]), f["start"], f["template"])):
             if all(f["end"] <= g["start"] or f["start"] >= g["end"] for g in out):
                 out.append(f)
         return sorted(out, key=lambda f: f["start"])
 
 
-_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("license", pa.string()), ("template", pa.int32()), ("saving", pa.float64())])
+def align(words: list[str], template: Template, most: int) -> list[Found]:
+    """The range of words with the fewest differences from the template, the leftmost of such, if they are ``most`` or fewer.
+
+    Differences are told as ``old>new``, ``old>`` (left out) and ``>new`` (put in). None may touch a telling word.
+    """
+    tokens: list[str | None] = []
+    for part in template.parts:
+        tokens += [_HOLE] * bool(tokens) + list(part)
+    never = most + 1
+    apart = lambda w: w in TELLING or any(c.isdigit() for c in w)
+    # cost[j]: of the tokens so far against words that end at j; the start is free.
+    cost = [0] * (len(words) + 1)
+    steps: list[list[int]] = []
+    for token in tokens:
+        then, step = [never] * (len(words) + 1), [0] * (len(words) + 1)
+        if token is _HOLE:
+            for j in range(len(words) + 1):
+                back = min(range(min(j, HOLE_WORDS) + 1), key=lambda k, j=j: (cost[j - k], k))
+                then[j], step[j] = cost[j - back], 3 + back
+        else:
+            rigid = apart(token)
+            for j in range(len(words) + 1):
+                best, how = (cost[j] + (never if rigid else 1)), 1  # the token is left out
+                if j:
+                    word = words[j - 1]
+                    same = cost[j - 1] + (0 if word == token else never if rigid or apart(word) else 1)
+                    if same <= best:
+                        best, how = same, 0
+                    more = then[j - 1] + (never if apart(word) else 1)  # a word is put in
+                    if more < best:
+                        best, how = more, 2
+                then[j], step[j] = min(best, never), how
+        cost = then
+        steps.append(step)
+    end = min(range(len(cost)), key=lambda j: (cost[j], j))
+    if cost[end] > most:
+        return []
+    changes, j, i = [], end, len(tokens)
+    while i:
+        how = steps[i - 1][j]
+        if how >= 3:
+            j -= how - 3
+        elif how == 2:
+            changes.append(f">{words[j - 1]}")
+            j -= 1
+            continue
+        else:
+            token = tokens[i - 1]
+            if how == 1:
+                changes.append(f"{token}>")
+            else:
+                if words[j - 1] != token:
+                    changes.append(f"{token}>{words[j - 1]}")
+                j -= 1
+        i -= 1
+    return [(j, end, changes[::-1])]
+
+
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("license", pa.string()), ("template", pa.int32()), ("saving", pa.float64()), ("changes", pa.list_(pa.string()))])
 
 
 def scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,13 +377,14 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, id_
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(_SPAN))], ["doc_id", "found"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, found array<struct<start:int,end:int,license:string,template:int,saving:double>>")
+    return rows.mapInArrow(run, f"doc_id {id_type}, found array<struct<start:int,end:int,license:string,template:int,saving:double,changes:array<string>>>")
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """doc_id, n_licenses, licenses (sorted names), spans (license:start:end by start)."""
+    """doc_id, n_licenses, licenses (sorted names), spans (license:start:end by start), n_changes (words that differ from the templates)."""
     said = F.transform("found", lambda f: F.concat_ws(":", f["license"], f["start"], f["end"]))
     names = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["license"])))
     return scanned.select(
-        "doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.array_join(said, ",").alias("spans")
+        "doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.array_join(said, ",").alias("spans"),
+        F.aggregate("found", F.lit(0).cast("long"), lambda n, f: n + F.size(f["changes"])).alias("n_changes"),
     )
