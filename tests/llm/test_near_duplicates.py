@@ -137,6 +137,52 @@ def test_near_texts(spark):
     assert sorted(str(r.doc_id) for r in minhash.keep_one(repeats).collect()) == sorted({str(true[0]), str(true[1]), "None"})
 
 
+def plain_weights(shingles, common, prior):
+    n = len([x for x in shingles if x])
+    held = {}
+    for own in shingles:
+        for x in own:
+            held[x] = held.get(x, 0) + 1
+    return {x: round(min(1, max(minhash.LEAST_WEIGHT, math.log((n + prior) / k) / math.log(1 / common))), 2) for x, k in held.items()}
+
+
+@pytest.mark.parametrize("common, prior", [(0.02, 0), (0.05, 10)])
+def test_near_texts_by_real_weights(spark, common, prior):
+    """Against all pairs where common shingles weigh less than others: some links go, others come."""
+    texts = corpus(3, 30)
+    shingles = [plain_shingles(t) for t in texts]
+    weight = plain_weights(shingles, common, prior)
+    assert len(set(weight.values())) > 3 and min(weight.values()) < 0.7
+
+    def alike(w):
+        links = []
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            a, b = shingles[i], shingles[j]
+            if a and b:
+                shared = sum(min(n, b[x]) * w(x) for x, n in a.items() if x in b)
+                if shared / (sum(n * w(x) for x, n in a.items()) + sum(n * w(x) for x, n in b.items()) - shared) >= 0.8 - 1e-12:
+                    links.append((i, j))
+        return find_components(range(len(texts)), links)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, common=common, prior=prior).collect()}
+    assert got == alike(weight.__getitem__)
+    if common == 0.02:
+        assert got != alike(lambda x: 1)
+
+
+def test_a_common_passage_links_nothing_and_makes_no_pairs_of_all(spark):
+    """Half of the texts share a passage that is most of each: by its weight they are not alike."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice(string.ascii_lowercase) for _ in range(5))
+    passage = " ".join(word() for _ in range(100))
+    texts = [" ".join(word() for _ in range(5)) + " " + passage for _ in range(150)] + [" ".join(word() for _ in range(40)) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    flat = minhash.near_duplicates(df)
+    assert flat.where("kept").count() < 160
+    assert minhash.near_duplicates(df, prior=0).where("kept").count() == 300
+
+
 def test_different_texts_under_one_id(spark):
     """Rows are told apart by id and text: no clean text goes because its id, null too, stands elsewhere."""
     r = random.Random(12)
@@ -183,7 +229,7 @@ def test_samples_estimate_weighted_jaccard():
     words = ["".join(r.choice(string.ascii_lowercase) for _ in range(5)) for _ in range(4000)]
     a, b = words[:3000], words[300:3300]
     s = Shingles([" ".join(a), " ".join(b + b[:500])])
-    idf = np.full(1 << minhash.CELL_BITS, 100, np.uint8)
+    idf = np.full(2 << minhash.CELL_BITS, 100, np.uint8)
     got = minhash.sample(s, idf, minhash.WIDE)
     x, y = plain_shingles(" ".join(a)), plain_shingles(" ".join(b + b[:500]))
     shared = sum(min(n, y.get(k, 0)) for k, n in x.items())
@@ -222,3 +268,32 @@ def test_pipeline(spark):
     whole = lambda df: sorted(tuple(r) for r in df.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
     assert whole(last) == whole(packing.pack(fourth, queries.vocabulary("byte_bpe_50k.json"))) == whole(p.run(spark, SF))
     assert p.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+AWKWARD = [
+    (None, None, "en", "a"), (None, "", "en", "a"), (None, "one two", None, None), (None, "three four", None, None), (1, "word " * 3, "en", "a"),
+    (1, "word " * 3, "en", "a"), (1, "another text under the same id", "en", "a"), (2, " \n\n\t", "en", None), (3, "aa bb cc dd\n" * 40, "de", "a"),
+    (4, " ".join(f"w{i}" for i in range(20_000)), "en", "b"), (5, " ".join(f"w{i}" for i in range(20_000)), "en", "b"), (6, "password=hunter2222 " + " ".join(f"k{i}" for i in range(30)), "fr", "b"),
+]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are absent")
+@pytest.mark.parametrize("rows", [AWKWARD, []])
+def test_the_pipeline_takes_awkward_rows(spark, rows):
+    """Null ids and texts, repeated rows, an empty table, long texts, columns whose names clash."""
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, uid string, class_id int, score double, words string, task int"
+    docs = spark.createDataFrame([(*r, 7, "k", "u", 1, 0.5, "w", 3) for r in rows], schema)
+    for name, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == schema.replace(",", "").split()[::2], name
+        kept = [(r.doc_id, r.text) for r in docs.collect()]
+        if name == "quality_rules" and rows:
+            assert all(t is not None and len(t.split()) >= 20 for _, t in kept) and {4, 5, 6} == {i for i, _ in kept}
+        if name == "minhash_near_dedup" and rows:
+            assert sorted(i for i, _ in kept) == [4, 6]
+    if rows:
+        assert {r.doc_id: r.text[:8] for r in docs.collect()}[6] == "[SECRET]" and {r.n_chars == len(r.text) for r in docs.collect()} == {True}
+    last = p.STAGES[-1][1](spark, docs, SF)
+    assert sorted({r.doc_id for r in last.collect()}) == ([4, 6] if rows else [])

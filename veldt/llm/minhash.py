@@ -1,11 +1,12 @@
 """Near-duplicate texts: consistent weighted sampling over TF-IDF shingles, banded, then verified.
 
-A shingle (five words) weighs its number in the text times an inverse document frequency. Document
-frequencies of all shingles of all texts are counted in a fixed number of hashed cells; a cell that
-stands above the average load (or ``LEAST_COMMON``) by a factor f weighs 1 / (1 + DAMPING ln f). The cells bound what the
-driver and the tasks hold whatever the corpus, and f is a relative frequency, so weights mean the
-same at every size. The damping is light: it takes passages that many documents share out of the
-samples, without setting copies in a large group of near copies apart.
+A shingle (five words) weighs its number in the text times an inverse document frequency,
+ln((N + PRIOR) / n) / ln(1 / COMMON), at most 1 and at least ``LEAST_WEIGHT``: N texts, n of them hold it. So what stands in up
+to a tenth of the corpus has full weight, and what more and more texts share weighs less and less. COMMON is
+that high as a group of near copies, which may hold a third of all rows, must not fall apart over its own
+common shingles; PRIOR stands for texts not seen, so that shares of a few texts mean little. n is read from a
+count-min sketch of all shingles of all texts (two rows of hashed cells; the lesser cell counts), which bounds
+what driver and tasks hold whatever the corpus; it is at most about N times the mean shingles of a text / 2**17 too high.
 
 Improved consistent weighted sampling (Ioffe) gives each text ``SAMPLES`` samples; two texts share
 one with a probability of their weighted Jaccard similarity. Bands of samples are buckets. Texts with
@@ -43,10 +44,8 @@ from .common import changes, cut, drop_cut, mix64, parts, texts_of, whole_groups
 from .components import components
 from .shingles import Shingles
 
-CELL_BITS = 18
-DAMPING = 0.03
-#: A cell below so many documents is never common.
-LEAST_COMMON = 64
+CELL_BITS = 17
+COMMON, PRIOR, LEAST_WEIGHT = 0.1, 1000, 0.05
 SAMPLES, ROWS = 64, 4
 AGREE, NEAR_AGREE = 38, 46
 WIDE, WIDE_AGREE = 512, 374
@@ -64,31 +63,45 @@ _KEYS = _draw.integers(1, 2**63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = _draw.integers(1, 2**63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _cells(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each shingle in both rows of cells."""
+    mask = np.uint64((1 << CELL_BITS) - 1)
+    first, second = hashes >> np.uint64(64 - CELL_BITS), (hashes >> np.uint64(64 - 2 * CELL_BITS)) & mask
+    return first.astype(np.int64), second.astype(np.int64) + (1 << CELL_BITS)
+
+
 def count_cells(docs: DataFrame, size: int) -> DataFrame:
-    """cell, n: in how many documents the shingles of each cell stand, summed."""
+    """cell, n: in how many texts the shingles of each cell stand, summed; at cell -1, how many texts have shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << CELL_BITS, np.int64)
+        held, texts = np.zeros(2 << CELL_BITS, np.int64), 0
         for part in parts(batches, "text"):
-            cells = Shingles(texts_of(part, "text"), size).hashes >> np.uint64(64 - CELL_BITS)
-            held += np.bincount(cells.astype(np.int64), minlength=len(held))
+            s = Shingles(texts_of(part, "text"), size)
+            texts += int((np.diff(s.bounds) > 0).sum())
+            for cells in _cells(s.hashes):
+                held += np.bincount(cells, minlength=len(held))
         cells = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(held[cells])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(cells, -1).astype(np.int32)), pa.array(np.append(held[cells], texts))], ["cell", "n"]
+        )
 
     return docs.select("text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def idf_of(counted: DataFrame) -> np.ndarray:
+def idf_of(counted: DataFrame, common: float = COMMON, prior: int = PRIOR) -> np.ndarray:
     """The weight of each cell, to hundredths (a byte each)."""
-    n = np.zeros(1 << CELL_BITS)
+    n, texts = np.zeros(2 << CELL_BITS), 0
     for batch in counted.toArrow().to_batches():
-        n[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    over = np.maximum(n / max(n.mean(), LEAST_COMMON), 1.0)
-    return np.round(100 / (1 + DAMPING * np.log(over))).astype(np.uint8)
+        cell, number = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        texts += int(number[cell < 0].sum())
+        n[cell[cell >= 0]] = number[cell >= 0]
+    weight = np.log((texts + prior) / np.maximum(n, 1)) / np.log(1 / common) if texts else np.ones(len(n))
+    return np.round(100 * np.clip(weight, LEAST_WEIGHT, 1)).astype(np.uint8)
 
 
 def weights(s: Shingles, idf: np.ndarray) -> np.ndarray:
-    return s.counts * (idf[(s.hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)] / 100)
+    first, second = _cells(s.hashes)
+    return s.counts * (np.maximum(idf[first], idf[second]) / 100)
 
 
 def sample(s: Shingles, idf: np.ndarray, count: int = SAMPLES) -> np.ndarray:
@@ -268,10 +281,21 @@ def _uid(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
 
 
-def _groups(docs: DataFrame, threshold: float, size: int, id_col: str, text_col: str) -> DataFrame:
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: they are found among the components that the links touch, and carried over."""
+    own = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    ends = links.join(own("u"), "u", "left").join(own("v"), "v", "left")
+    edges = ends.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u != v").distinct()
+    above = components(edges).select(F.col("node").alias("of"), F.col("component").alias("to"))
+    carried = found.join(above, F.col("component") == F.col("of"), "left").select("node", F.coalesce("to", "component").alias("component"))
+    fresh = above.join(found, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("node"), F.col("to").alias("component"))
+    return cut(carried.union(fresh))
+
+
+def _groups(docs: DataFrame, threshold: float, size: int, id_col: str, text_col: str, common: float, prior: int) -> DataFrame:
     """doc_id, uid, class_id, kept for each row of ``docs``. Inside, a text goes by its ``uid``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), _uid(id_col, text_col).alias("uid"), F.col(text_col).alias("text"))
-    idf = idf_of(count_cells(rows, size))
+    idf = idf_of(count_cells(rows, size), common, prior)
     signed = cut(signatures(rows, idf, size))
     key = ["k1", "k2"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
@@ -303,8 +327,7 @@ def _groups(docs: DataFrame, threshold: float, size: int, id_col: str, text_col:
             continue
         new = cut(verify(more, texts, idf, threshold, size))
         if not new.isEmpty():
-            links = links.union(new)
-            found = cut(components(links))
+            found = _joined(found, new)
     drop_cut(texts)
     label = classes.join(found, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("comp"), "first")
     leads = label.groupBy(F.col("comp").alias("_comp")).agg(F.min("first").alias("_lead"))
@@ -315,15 +338,15 @@ def _groups(docs: DataFrame, threshold: float, size: int, id_col: str, text_col:
 
 
 def near_duplicates(
-    docs: DataFrame, *, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", common: float = COMMON, prior: int = PRIOR
 ) -> DataFrame:
     """doc_id, class_id, kept for each row of ``docs``."""
-    return _groups(docs, threshold, size, id_col, text_col).select("doc_id", "class_id", "kept")
+    return _groups(docs, threshold, size, id_col, text_col, common, prior).select("doc_id", "class_id", "kept")
 
 
 def keep_one(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that lead their group, all columns; of rows that repeat id and text one stays."""
-    found = _groups(docs, threshold, size, id_col, text_col)
+    found = _groups(docs, threshold, size, id_col, text_col, COMMON, PRIOR)
     leaders = found.where("kept").select(F.col("uid").alias("__veldt_leader")).distinct()
     joined = docs.withColumn("__veldt_uid", _uid(id_col, text_col)).join(leaders, F.col("__veldt_uid") == F.col("__veldt_leader"))
     # The join has dealt and sorted the rows by uid already.
