@@ -430,7 +430,10 @@ def test_licenses_with_differences(spark):
     ]
     got = {r.doc_id: r for r in licenses.digest(licenses.scan(frame(spark, [t for t, _, _ in cases]))).collect()}
     assert [(got[i].licenses, got[i].n_changes) for i in range(len(cases))] == [(n, k) for _, n, k in cases]
-    assert licenses.Scanner(licenses.TEMPLATES).scan(cases[0][0])[0]["changes"] == ["deal>trade"]
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    assert scanner.scan(cases[0][0])[0]["changes"] == ["deal>trade"]
+    for name, text in licenses.TEMPLATES:  # each is found by itself: it has a cue and saves enough
+        assert [f["license"] for f in scanner.scan(text.replace("*", "Someone"))] == [name.replace("*", "Someone")], text
 
 
 def test_published_licenses(spark):
@@ -593,7 +596,7 @@ def test_the_lexicon_has_every_term_that_passes(spark):
     rows = []
     for i in range(400):
         toxic = int(i % 4 == 0)
-        rows.append((i, " ".join([f"w{r.randrange(2000)}" for _ in range(30)] + [f"bad{j}x" for j in range(3000)] * toxic), toxic, i % 8 // 4))
+        rows.append((i, " ".join([f"w{r.randrange(2000)}" for _ in range(30)] + [f"bad{j}x" for j in range(3000)] * toxic + [f"only{i}"]), toxic, i % 8 // 4))
     frame_ = spark.createDataFrame(rows, "doc_id long, text string, toxic int, fold int")
     lexicons = toxicity.learn_lexicons(frame_)
     for folds, lexicon in zip(((0,), (1,), (0, 1)), lexicons, strict=True):

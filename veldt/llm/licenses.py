@@ -126,7 +126,7 @@ TELLING = frozenset("affero apache bsd commons creative free gnu general isc les
 #: A template may differ at one word for each so many of its own.
 WORDS_A_CHANGE = 20
 #: Words that may stand in a licensing block.
-CUES = re.compile(r"licen[sc]|permission|redistribut|public domain|free software|warranty|mozilla public|waived all|names of its", re.IGNORECASE)
+CUES = re.compile(r"licen[sc]|released under|permission|redistribut|public domain|free software|warranty|mozilla public|waived all|names of its", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 HOLE_WORDS = 12
 #: A template wins if its dictionary saves at least this share of what it could: of the block's

@@ -264,7 +264,7 @@ def count_terms(rows: DataFrame) -> DataFrame:
 
 def _passes(hits: Column, rows: Column, share: float, least_log_p: float) -> Column:
     """Whether a term's toxic rows are far more than chance: an upper bound of the log of a binomial tail (Chernoff)."""
-    a = hits / rows
+    a = hits / F.nullif(rows, F.lit(0))  # a term may stand in the other fold only
     tail = -rows * (a * F.log(a / share) + F.when(a < 1, (1 - a) * F.log((1 - a) / (1 - share))).otherwise(0.0))
     return (hits >= 4) & (hits > 2 * share * rows) & (tail < least_log_p)
 
