@@ -255,7 +255,7 @@ def test_pipeline(spark):
     first = cut(stages["toxicity"](spark, docs, SF))
     assert ids(first) == ids(toxicity.score(docs, model).where("score < 0.3")) and first.columns == docs.columns
     second = cut(stages["quality_rules"](spark, first, SF))
-    assert ids(second) == ids(quality.judge(first).where("kept")) and second.columns == docs.columns
+    assert ids(second) == ids(quality.judge(first, contents=True, keep_first=True).where("kept")) and second.columns == docs.columns
     third = cut(stages["minhash_near_dedup"](spark, second, SF))
     assert ids(third) == ids(minhash.near_duplicates(second).where("kept"))
     fourth = cut(stages["secret_scan"](spark, third, SF))

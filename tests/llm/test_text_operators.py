@@ -202,22 +202,59 @@ def test_quality_statistics(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_quality(t), t
 
 
+#: What the pipeline asks for: copies of one text count once, and a line stays in its first document.
+ONCE = {"contents": True, "keep_first": True}
+
+
+def test_quality_lines_by_a_plain_count(spark):
+    """The method as it stands: distinct documents of each host, lines above both limits gone from all of them."""
+    r = random.Random(31)
+    lines = [new_words(r, r.choice([3, 9, 14])) for _ in range(40)]
+    hosts = ["hot", "hot", "hot", "cold", None]
+    rows = []
+    for i in range(150):
+        own = [new_words(r, 12) for _ in range(r.randint(1, 4))] + [lines[min(int(r.expovariate(0.1)), 39)] for _ in range(r.randint(0, 6))]
+        r.shuffle(own)
+        rows.append((i, "\n".join(own), r.choice(hosts), 1.0))
+    rows += rows[:20] + [(None, rows[3][1], "hot", 1.0), (None, rows[4][1], "hot", 1.0), (None, None, "hot", 1.0), (5, rows[6][1], "cold", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, score double").repartition(3)
+    normal = lambda t: [" ".join(x.lower().split()) for x in (t or "").split("\n") if x.split()]
+    documents = {(i, h, t): normal(t) for i, t, h, _ in rows}
+    per_host = {h: sum(x == h for _, x, _ in documents) for h in hosts}
+    for max_docs, max_share in ((4, 0.001), (4, 0.08), (1000, 0.0)):
+        held = {}
+        for (_, h, _), own in documents.items():
+            for line in set(own):
+                held[h, line] = held.get((h, line), 0) + 1
+        frequent = {x for x, n in held.items() if n > max_docs and n > max_share * per_host[x[0]]}
+        wanted = []
+        for i, t, h, _ in rows:
+            n, gone = len((t or "").split()), sum(len(x.split()) for x in documents[i, h, t] if (h, x) in frequent)
+            failed = plain_quality(t)[-1]
+            wanted.append((str(i), n, gone, not failed and n - gone >= 0.3 * n))
+        got = quality.judge(df, max_docs=max_docs, max_share=max_share).collect()
+        assert sorted((str(x.doc_id), x.n_words, x.n_removed_words, x.kept) for x in got) == sorted(wanted)
+        assert max_docs == 1000 or len({w[2] for w in wanted}) > 3
+        cleaned = quality.clean(df, max_docs=max_docs, max_share=max_share).collect()
+        assert sorted(len((x.text or "").split()) for x in cleaned) == sorted(n - gone for _, n, gone, kept in wanted if kept)
+
+
 def test_quality_lines(spark):
     """A line above the limit goes from all documents of its host but the first; copies of one text count once."""
     r = random.Random(6)
     words = lambda n: " ".join("".join(r.choice(string.ascii_lowercase) for _ in range(7)) for _ in range(n))
     common, copied = words(60), words(80)
     texts = [common + "\n" + words(10) for _ in range(6)] + [common.upper() + "  \n" + words(100)] + [copied] * 20 + [words(30)]
-    rows = quality.judge(frame(spark, texts), max_docs=5).collect()
+    rows = quality.judge(frame(spark, texts), max_docs=5, **ONCE).collect()
     kept = {x.doc_id: x.kept for x in rows}
     assert [kept[i] for i in range(6)] == [True] + [False] * 5 and kept[6]
     assert all(kept[i] for i in range(7, 28))
     assert {x.doc_id for x in rows if x.n_removed_words} == {1, 2, 3, 4, 5, 6}
-    cleaned = {x.doc_id: x for x in quality.clean(frame(spark, texts), max_docs=5).collect()}
+    cleaned = {x.doc_id: x for x in quality.clean(frame(spark, texts), max_docs=5, **ONCE).collect()}
     assert set(cleaned) == {i for i, k in kept.items() if k} and cleaned[6].text == texts[6].split("\n")[1]
     assert cleaned[0].text == texts[0] and cleaned[0].score == "clash"
     other = frame(spark, texts[:4]).union(frame(spark, texts[4:6], source=None).withColumn("doc_id", F.col("doc_id") + 4))
-    assert all(x.kept for x in quality.judge(other, max_docs=5).collect())
+    assert all(x.kept for x in quality.judge(other, max_docs=5, **ONCE).collect())
 
 
 def new_words(r, n):
@@ -231,11 +268,11 @@ def test_quality_counts_every_occurrence_of_a_line(spark):
     # Every pair of neighbours differs, so no window of 8 words recurs.
     mixed = "\n".join(x for k in range(8) for i in range(5) for x in (common[i], new_words(r, 1)))
     texts = ["\n".join(common) + "\n" + new_words(r, 90) for _ in range(6)] + [mixed + "\n" + new_words(r, 20)]
-    rows = {x.doc_id: x for x in quality.judge(frame(spark, texts), max_docs=5).collect()}
+    rows = {x.doc_id: x for x in quality.judge(frame(spark, texts), max_docs=5, **ONCE).collect()}
     last = rows[6]
     assert (last.n_words, last.n_removed_words, last.base_failed, last.kept) == (260, 200, False, False)
     assert [rows[i].n_removed_words for i in range(6)] == [0] + [25] * 5 and all(rows[i].kept for i in range(6))
-    cleaned = {x.doc_id: len(x.text.split()) for x in quality.clean(frame(spark, texts), max_docs=5).collect()}
+    cleaned = {x.doc_id: len(x.text.split()) for x in quality.clean(frame(spark, texts), max_docs=5, **ONCE).collect()}
     assert cleaned == {i: rows[i].n_words - rows[i].n_removed_words for i in range(6)}
 
 
@@ -245,16 +282,16 @@ def test_quality_judges_rows_by_themselves(spark):
     common = new_words(r, 40)
     texts = [common + "\n" + new_words(r, 60) for _ in range(8)] + [new_words(r, 30)]
     df = frame(spark, texts)
-    twice = quality.judge(df.union(df), max_docs=5).collect()
+    twice = quality.judge(df.union(df), max_docs=5, **ONCE).collect()
     assert len(twice) == 18 and all(x.kept for x in twice) and {x.n_removed_words for x in twice if 1 <= x.doc_id < 8} == {40}
     shared = df.withColumn("doc_id", F.when(F.col("doc_id") > 1, F.lit(None).cast("long")).otherwise(F.col("doc_id")))
-    assert [(x.n_words, x.n_removed_words, x.kept) for x in quality.judge(shared, max_docs=5).orderBy("n_words", "n_removed_words").collect()] == [
+    assert [(x.n_words, x.n_removed_words, x.kept) for x in quality.judge(shared, max_docs=5, **ONCE).orderBy("n_words", "n_removed_words").collect()] == [
         (30, 0, True), (100, 0, True), *[(100, 40, True)] * 7,
     ]
-    cleaned = sorted(len(x.text.split()) for x in quality.clean(shared, max_docs=5).collect())
+    cleaned = sorted(len(x.text.split()) for x in quality.clean(shared, max_docs=5, **ONCE).collect())
     assert cleaned == [30, *[60] * 7, 100]
     hosts = df.union(frame(spark, texts[3:4], source="other")).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.lit(None).cast("long")).otherwise(F.col("doc_id")))
-    assert sorted(len(x.text.split()) for x in quality.clean(hosts.where("source = 'other' or text is not null"), max_docs=5).collect()) == [30, *[60] * 7, 100, 100]
+    assert sorted(len(x.text.split()) for x in quality.clean(hosts.where("source = 'other' or text is not null"), max_docs=5, **ONCE).collect()) == [30, *[60] * 7, 100, 100]
 
 
 def test_quality_on_nothing_and_repeats(spark):

@@ -47,11 +47,14 @@ _QUALITY = r"""WITH docs AS (
 ), normal AS (
   SELECT doc_id, host, list_transform(raw, lambda x: trim(regexp_replace(regexp_replace(lower(x), '[\x09\x0B-\x0D]', ' ', 'g'), ' {2,}', ' ', 'g'))) AS own FROM split
 ), lines AS (
-  SELECT doc_id, host, array_to_string(own, chr(10)) AS content, unnest(list_distinct(own)) AS line FROM normal
+  SELECT doc_id, host, line, count(*) AS k FROM (SELECT doc_id, host, unnest(own) AS line FROM normal) GROUP BY ALL
+), hosts AS (
+  SELECT host, count(DISTINCT doc_id) AS n FROM docs GROUP BY host
 ), frequent AS (
-  SELECT host, line, min(doc_id) AS first_doc FROM lines GROUP BY host, line HAVING count(DISTINCT content) > 50
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT doc_id) AS d FROM lines GROUP BY host, line) JOIN hosts USING (host)
+  WHERE d > 50 AND d > 0.001 * n
 ), gone AS (
-  SELECT doc_id, CAST(sum(len(string_split(line, ' '))) AS BIGINT) AS n FROM lines JOIN frequent USING (host, line) WHERE doc_id <> first_doc GROUP BY doc_id
+  SELECT doc_id, CAST(sum(k * len(string_split(line, ' '))) AS BIGINT) AS n FROM lines JOIN frequent USING (host, line) GROUP BY doc_id
 ), told AS (
   SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(raw) - len(list_distinct(raw)) AS BIGINT) AS n_dup_lines,

@@ -1,9 +1,13 @@
 """Quality rules: statistics of each text, and cross-document line frequency.
 
-Lines are normalised (lower case, runs of white space as one space) and hashed. For
-each host and line the documents with different contents are counted; copies of one text count once.
-A line above ``max_docs`` is removed from every document of the host but the first (least id) that
-has it, so what is copied is kept once. Documents left with too few of their words are rejected.
+Lines are normalised (lower case, runs of white space as one space) and hashed. For each host and line
+the documents are counted that hold it. A line in more than ``max_docs`` documents, and in more than the
+share ``max_share`` of the host's, is removed from them all; documents left with too few of their words
+are rejected. The share makes the limit grow with the host, so that ordinary sentences don't cross it.
+
+Two switches serve a pipeline that looks for copies later: with ``contents`` documents of one content count
+once, and with ``keep_first`` the first document (least id) of the host that has a line keeps it, so what
+is copied is not lost in all its copies.
 
 All of it is DataFrame and SQL functions. Counting is two aggregations that combine before each
 shuffle; the join back is on (host, line), which adaptive execution may split; texts are never shuffled
@@ -121,25 +125,34 @@ def document_lines(profiles: DataFrame) -> DataFrame:
     return each.select("doc_id", "key", "host", "content", "x.line", "x.n_words")
 
 
-def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
-    """Lines in more than ``max_docs`` different documents of a host: host, line, n_docs, first_doc."""
-    one = lines.groupBy("host", "line", "content").agg(F.min("doc_id").alias("first_doc"))
-    per_line = one.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("first_doc").alias("first_doc"))
-    return per_line.where(F.col("n_docs") > max_docs)
+def frequent_lines(profiles: DataFrame, lines: DataFrame, max_docs: int, max_share: float, contents: bool) -> DataFrame:
+    """Lines in more documents of a host than the limit: host, line, n_docs, first_doc."""
+    unit = "content" if contents else "key"
+    one = lines.groupBy("host", "line", unit).agg(F.min("doc_id").alias("first_doc"))
+    per_line = one.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("first_doc").alias("first_doc")).where(F.col("n_docs") > max_docs)
+    hosts = profiles.groupBy("host", unit).agg(F.count("*")).groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("_docs"))
+    joined = per_line.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n_docs") > max_share * F.col("_docs"))
+    return joined.select("host", "line", "n_docs", "first_doc")
 
 
-def removed_lines(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+def removed_lines(lines: DataFrame, frequent: DataFrame, keep_first: bool) -> DataFrame:
     """The document lines that go, once for rows that are alike: key, line, n_words."""
     known = frequent.select(F.col("host").alias("_host"), F.col("line").alias("_line"), "first_doc")
     hit = F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line"))
-    return lines.join(known, hit).where(~F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("key", "line", "n_words").distinct()
+    joined = lines.join(known, hit)
+    if keep_first:
+        joined = joined.where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    return joined.select("key", "line", "n_words").distinct()
 
 
 def judge(
     docs: DataFrame,
     *,
     max_docs: int = 50,
+    max_share: float = 0.001,
     least_share: float = 0.3,
+    contents: bool = False,
+    keep_first: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
@@ -150,12 +163,14 @@ def judge(
     ``least_share`` of its words left.
     """
     profiles = cut(profile(docs, id_col=id_col, text_col=text_col, host_col=host_col))
-    return _verdict(profiles, max_docs, least_share)[0].drop("key")
+    return _verdict(profiles, max_docs, max_share, least_share, contents, keep_first)[0].drop("key")
 
 
-def _verdict(profiles: DataFrame, max_docs: int, least_share: float) -> tuple[DataFrame, DataFrame]:
+def _verdict(
+    profiles: DataFrame, max_docs: int, max_share: float, least_share: float, contents: bool, keep_first: bool
+) -> tuple[DataFrame, DataFrame]:
     lines = document_lines(profiles)
-    removed = removed_lines(lines, frequent_lines(lines, max_docs))
+    removed = removed_lines(lines, frequent_lines(profiles, lines, max_docs, max_share, contents), keep_first)
     gone = removed.groupBy("key").agg(F.sum("n_words").alias("n_removed"))
     joined = profiles.join(gone, "key", "left")
     n_removed = F.least(F.coalesce("n_removed", F.lit(0)), "n_words")
@@ -175,10 +190,21 @@ def _verdict(profiles: DataFrame, max_docs: int, least_share: float) -> tuple[Da
     return verdict, removed
 
 
-def clean(docs: DataFrame, *, max_docs: int = 50, least_share: float = 0.3, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def clean(
+    docs: DataFrame,
+    *,
+    max_docs: int = 50,
+    max_share: float = 0.001,
+    least_share: float = 0.3,
+    contents: bool = False,
+    keep_first: bool = False,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+) -> DataFrame:
     """The kept documents with all their columns, their removed lines gone from the text."""
     profiles = cut(profile(docs, id_col=id_col, text_col=text_col, host_col=host_col))
-    verdict, removed = _verdict(profiles, max_docs, least_share)
+    verdict, removed = _verdict(profiles, max_docs, max_share, least_share, contents, keep_first)
     gone = removed.groupBy("key").agg(F.collect_set("line").alias("__veldt_gone"))
     marked = verdict.where("kept").select("key").distinct().join(gone, "key", "left").withColumnRenamed("key", "__veldt_key")
     stay = F.filter(
