@@ -31,7 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _sized(quality.clean(docs))
+    # A copied text stays in its first document, for near-dedup to find.
+    return _sized(quality.clean(docs, contents=True, keep_first=True))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
