@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import io
 import json
 
 import pytest
@@ -9,15 +10,17 @@ from pyspark.sql import functions as F
 
 from veldt import cli
 from veldt.functions import expr, schnorr
+from veldt.functions.builder import Event, frame_of, with_defaults
 from veldt.operators import dedup, ingest, tags
 from veldt.operators.index import EventIndex
 from veldt.plans import views
 from veldt.schema import EVENT
 from veldt.sources import wire
 from veldt.sources.events_pb import event_files, read_pb, temporary_date, write_pb
+from veldt.sources.remote import bucket_and_key, read_pb_objects, read_pb_parts, write_pb_parts
 from veldt.sources.lines import count_lines, read_lines, write_json
 from veldt.sources.store import EventStore
-from veldt.streaming.ingest import Accept, Ingest, bounded_dedup, stream_lines
+from veldt.streaming.ingest import Accept, Ingest, bounded_dedup, stream_lines, windowed_counts
 
 DAY = 86_400
 
@@ -257,3 +260,128 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["convert", str(tmp_path / "empty"), "-o", out]) == 0
     (tmp_path / "bad").write_text("{x\n")
     assert cli.main(["convert", str(tmp_path / "bad"), "-o", out]) == 1
+
+
+def test_latest_version_does_not_depend_on_the_partitioning(spark):
+    """Versions of one time under one id: the columns settle which stays."""
+    base = signed(1)
+    rows = [tuple({**base, "content": c, "sig": s}[k] for k in EVENT.fieldNames()) + (5, r) for c in "ba" for s in "dc" for r in ("y", "x")]
+    df = spark.createDataFrame(rows, EVENT.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", indexed_at int, relay_source string")
+    for n in (1, 2, 7):
+        got = dedup.latest_wins(df.repartition(n)).first()
+        assert (got.sig, got.relay_source, got.content) == ("c", "x", "a")
+        assert dedup.merge_sources([df.repartition(n)]).first().content == "a"
+    assert dedup.latest_wins(df.withColumn("indexed_at", F.when(F.col("content") == "b", 6).otherwise(5))).first().content == "b"
+
+
+def test_merge_keeps_files_that_can_not_be_read(spark, tmp_path, capsys):
+    out = tmp_path / "out"
+    (out / "tmp").mkdir(parents=True)
+    events = [tuple(signed(n)[c] for c in EVENT.fieldNames()) for n in range(3)]
+    whole, broken = out / "tmp" / "thread_0_2025_09_27.pb.gz.tmp", out / "tmp" / "thread_1_2025_09_27.pb.gz.tmp"
+    whole.write_bytes(wire.compress(events[:2]))
+    broken.write_bytes(wire.compress(events[1:]) + gzip.compress(wire.varint(9) + b"abc"))
+    (out / "2025_09_26.pb.gz").write_bytes(wire.compress(events[:1])[:-9])
+    assert cli.main(["merge", str(out)]) == 1
+    said = capsys.readouterr().out
+    assert "3 events" in said and "2 broken records" in said and broken.name in said
+    assert not whole.exists() and broken.exists() and (out / "2025_09_26.pb.gz.broken").exists()
+    assert {r.id for r in read_pb(spark, str(out)).collect()} == {e[0] for e in events}
+    told = read_pb(spark, str(out / "tmp"), pattern="*.tmp", mode="REPORT")
+    assert [(r.id, r.position) for r in told.orderBy("position").collect()] == [(events[1][0], 0), (events[2][0], 1), (None, 2)]
+
+
+def test_stream_looks_at_wanted_new_events_only(spark, tmp_path):
+    """Replayed and unwanted events never reach the signature check; counts and health are told."""
+    job = Ingest(EventStore(spark, str(tmp_path / "store")), EventIndex(spark, str(tmp_path / "index")), quarantine_path=str(tmp_path / "bad"),
+                 accept=Accept(kinds=[1]), relays_path=str(tmp_path / "relays"))
+    good, other, unwanted = signed(1, tag_list=[["r", "wss://x"]]), signed(2), {**signed(3, kind=7), "sig": "c" * 128}
+    lines = [json.dumps(e) for e in (good, good, {**good, "sig": other["sig"]}, {**other, "content": "forged"}, unwanted)] + ["", "{bad"]
+    df = lines_of(spark, lines).withColumn("file_path", F.lit("f")).withColumn("block_start", F.lit(0).cast("long"))
+    job.batch(df, 0)
+    job.batch(df, 1)
+    assert [r.id for r in job.store.read().collect()] == [good["id"]]
+    first, second = job.metrics
+    assert (first["lines"], first["skipped"], first["invalid"], first["refused"], first["added"]) == (7, 1, 1, 2, 1)
+    assert (second["refused"], second["added"]) == (1, 0)  # the forged one is new each time, the other has a known id
+    assert {r.category for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == {"ParseError", "InvalidSignature", "InvalidEventId"}
+    assert [(r.relay, r.mentions) for r in spark.read.parquet(str(tmp_path / "relays")).collect()] == [("wss://x", 1)]
+    assert job.health()["added"] == 1 and job.health()["batches"] == 2
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a").write_text(json.dumps(signed(9)))
+    query = job.start(stream_lines(spark, str(source)), str(tmp_path / "checkpoint"), every="1 second")
+    query.processAllAvailable()
+    assert job.health(query)["active"] and job.health(query)["error"] is None and job.health()["added"] == 2
+    job.stop(query)
+    assert not query.isActive
+
+
+def test_windowed_counts(spark, tmp_path):
+    frame(spark, [signed(n, created_at=1_758_960_000 + 400 * n) for n in range(3)]).write.parquet(str(tmp_path / "s"))
+    stream = windowed_counts(spark.readStream.schema(EVENT).parquet(str(tmp_path / "s")))
+    q = stream.writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.events for r in spark.table("windowed").collect()) == [1, 1, 1]
+
+
+def test_builder_and_defaults(spark):
+    assert Event().row() == ("", "", 0, 0, [], "", "")
+    base = Event(pubkey="p", kind=1)
+    e = base.with_(content="c").tagged("t", "x").tagged("-")
+    assert base.tags == () and e.row() == ("", "p", 0, 1, [["t", "x"], ["-"]], "c", "")
+    assert wire.decode(wire.encode(e.row())) == e.row() and wire.encode(Event().row()) == b""
+    df = frame_of(spark, [e, base])
+    assert df.schema == EVENT and df.count() == 2
+    rows = spark.createDataFrame([("i", None, 9)], "id string, content string, extra int")
+    assert tuple(with_defaults(rows).first()) == ("i", "", 0, 0, [], "", "")
+
+
+@pytest.mark.parametrize("uri, told", [("s3://b/p/q", ("b", "p/q")), ("s3://b", ("b", "")), ("s3a://b/", ("b", "")), ("http://x", None), ("s3://", None)])
+def test_store_paths(uri, told):
+    if told is None:
+        with pytest.raises(ValueError, match="no path"):
+            bucket_and_key(uri)
+    else:
+        assert bucket_and_key(uri) == told
+
+
+def test_event_files_of_any_store(spark, tmp_path):
+    """By paths that only Spark's file systems open, and days over many parts."""
+    events = [signed(n, f"c{n}", created_at=1_758_960_000 + n % 2 * DAY) for n in range(9)]
+    write_pb(frame(spark, events), str(tmp_path / "pb"))
+    with open(tmp_path / "pb" / "2025_01_01.pb.gz", "wb") as f:
+        f.write(gzip.compress(wire.varint(9) + b"abc"))
+    spark.conf.set("fs.viewfs.mounttable.own.link./in", f"file://{tmp_path}")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.own.link./in", f"file://{tmp_path}")
+    for path in (str(tmp_path / "pb"), "viewfs://own/in/pb"):
+        got = read_pb_objects(spark, path)
+        assert {tuple(r) for r in got.select("id", "file_path", "position").collect()} == {tuple(r) for r in read_pb(spark, str(tmp_path / "pb")).select("id", "file_path", "position").collect()}
+    assert read_pb_objects(spark, str(tmp_path / "pb"), mode="REPORT").where("id IS NULL").count() == 1
+    write_pb_parts(frame(spark, events).repartition(3), str(tmp_path / "parts"), per_file=2)
+    back = read_pb_parts(spark, str(tmp_path / "parts"))
+    assert {(r.id, r.content, r.event_date) for r in back.collect()} == {(e["id"], e["content"], "2025_09_27" if n % 2 == 0 else "2025_09_28") for n, e in enumerate(events)}
+    assert back.count() == 9
+    members = spark.read.parquet(str(tmp_path / "parts")).where("event_date = '2025_09_27'").collect()
+    assert len(list(wire.read_events(gzip.open(io.BytesIO(b"".join(r.member for r in members)))))) == 5
+
+
+def test_store_and_index_statistics(spark, tmp_path):
+    store, index = EventStore(spark, str(tmp_path / "events")), EventIndex(spark, str(tmp_path / "index"))
+    store.append(frame(spark, [signed(1), signed(2)]))
+    index.rebuild(frame(spark, [signed(1), signed(2)]).withColumn("file_path", F.lit("f")))
+    store.analyse("own_events")
+    index.analyse("own_index")
+    for name in ("own_events", "own_index"):
+        assert "2 rows" in {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}["Statistics"]
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_pretty_shortened_and_hints(spark):
+    event = signed(1, tag_list=[["r", "wss://a"], ["e", "i", "wss://b"], ["p", "k", "wss://a"], ["e", "i", "http://c"]])
+    df = frame(spark, [event])
+    text = df.select(expr.event_json(pretty=True).alias("x")).first().x
+    assert json.loads(text) == event and text.count("\n") > 7
+    told = spark.createDataFrame([("x" * 100,), ("y" * 101,), (None,)], "s string").select(expr.shortened(F.col("s")).alias("s")).collect()
+    assert [r.s for r in told] == ["x" * 100, "y" * 97 + "...", None]
+    assert [tuple(r) for r in tags.relay_hints(df, most=1).collect()] == [("wss://a", 2)]

@@ -6,8 +6,9 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from .operators.dedup import merge_sources
+from .operators.dedup import first_wins, merge_sources
 from .operators.index import EventIndex
 from .operators.ingest import classify, conversion_stats, error_breakdown, quarantine, valid_events
 from .session import get_session
@@ -68,29 +69,42 @@ def convert(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def merge(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Temporary copies win over the final files'; the temporary files go only after the result is whole."""
+    """Temporary copies win over the final files'; temporary files go only after the result is whole.
+
+    Files with records that can't be read stay where they are, final ones under a name of their own; 1 is
+    returned for them.
+    """
     import os
 
     from .sources.events_pb import event_files, local
 
     folder = a.temporary or os.path.join(a.output_dir, "tmp")
-    temporary = event_files([folder], "*.pb.gz.tmp")
+    temporary, final = event_files([folder], "*.pb.gz.tmp"), event_files([a.output_dir])
     if not temporary:
         print("nothing to merge")
         return 0
-    sources = [read_pb(spark, folder, pattern="*.pb.gz.tmp")]
-    if event_files([a.output_dir]):
-        sources.append(read_pb(spark, a.output_dir))
-    merged = merge_sources(sources).drop("file_path", "position").persist()
+    sources = [read_pb(spark, folder, pattern="*.pb.gz.tmp", mode="REPORT")]
+    if final:
+        sources.append(read_pb(spark, a.output_dir, mode="REPORT"))
+    read = merge_sources([s.withColumn("_final", F.lit(bool(i))) for i, s in enumerate(sources)], dedup=False).persist()
     try:
-        n = merged.count()
+        broken = {(r.file_path, r._final): r.n for r in read.where("id IS NULL").groupBy("file_path", "_final").agg(F.count("*").alias("n")).collect()}
+        whole = read.where("id IS NOT NULL")
+        merged = first_wins(whole, ["_final", "file_path", "position"]).drop("file_path", "position", "_final")
+        total, n = whole.count(), merged.count()
+        for path in final:
+            if (os.path.basename(path), True) in broken:
+                os.replace(local(path), local(path) + ".broken")
         write_pb(merged, a.output_dir, mode="overwrite", level=a.compression_level)
     finally:
-        merged.unpersist()
+        read.unpersist()
     for path in temporary:
-        os.remove(local(path))
-    print(f"{n} events")
-    return 0
+        if (os.path.basename(path), False) not in broken:
+            os.remove(local(path))
+    print(f"{n} events, {total - n} duplicates, {sum(broken.values())} broken records")
+    for (name, _), count in sorted(broken.items()):
+        print(f"  {name} is kept: {count} records can't be read")
+    return int(bool(broken))
 
 
 def index(spark: SparkSession, a: argparse.Namespace) -> int:

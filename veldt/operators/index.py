@@ -51,6 +51,12 @@ class EventIndex:
         once = first_wins(events, [*place, "created_at", "pubkey"])
         self._write(records(once, indexed_at), "overwrite")
 
+    def analyse(self, name: str) -> None:
+        """Register the index in the catalog under a name, with statistics for the optimizer: after a rebuild."""
+        self.spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        self.spark.sql(f"CREATE TABLE `{name}` USING parquet LOCATION '{self.path}'")
+        self.spark.sql(f"ANALYZE TABLE `{name}` COMPUTE STATISTICS FOR COLUMNS kind, pubkey, created_at, file_path")
+
     def insert(self, events: DataFrame, indexed_at: int | None = None) -> tuple[int, int]:
         """Add events whose id is new; returns how many were added and how many were not."""
         place = [c for c in ("file_path", "position") if c in events.columns]

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import expr
+from ..functions import expr, schnorr
 from ..operators import dedup, tags
 from ..operators.index import EventIndex, records
-from ..operators.ingest import basic_reason, category_of, classify, conversion_stats, error_breakdown
+from ..operators.ingest import basic_reason, category_of, classify, conversion_stats, error_breakdown, valid_events
 from ..schema import kind_class
-from ..streaming.ingest import Accept
+from ..session import scratch
+from ..sources.lines import read_lines, write_json
+from ..sources.remote import read_pb_parts, write_pb_parts
+from ..sources.store import EventStore
+from ..streaming.ingest import Accept, Ingest
 from . import views
 from .adapter import EVENTS_SQL, load_events, raw_lines
 
@@ -119,12 +125,14 @@ def _index(e: DataFrame) -> EventIndex:
     return EventIndex(e.sparkSession, rows=records(named, 0).drop("indexed_at"))
 
 
+#: The id and the key that the fixtures' event 5 and author have.
+_EVENT, _AUTHOR_KEY = (hashlib.sha256(x.encode()).hexdigest() for x in ("e:5", f"u:{AUTHOR}"))
 _INDEX = "SELECT id, kind, pubkey, created_at, strftime(day, '%Y_%m_%d') || '.pb.gz' AS file_path FROM ev "
-_register("index_get", _INDEX + "WHERE id = sha256('e:5')", lambda e: _index(e).rows.where(F.col("id") == F.sha2(F.lit("e:5"), 256)).limit(1))
+_register("index_get", _INDEX + "WHERE id = sha256('e:5')", lambda e: _index(e).get(_EVENT))
 _register("index_contains", "SELECT count(*) > 0 AS found FROM ev WHERE id = sha256('e:5')",
-          lambda e: _index(e).rows.agg((F.count(F.when(F.col("id") == F.sha2(F.lit("e:5"), 256), 1)) > 0).alias("found")))
+          lambda e: e.sparkSession.range(1).select(F.lit(_index(e).contains(_EVENT)).alias("found")))
 _register("index_by_kind", _INDEX + "WHERE kind = 7", lambda e: _index(e).by_kind(7))
-_register("index_by_pubkey", _INDEX + f"WHERE pubkey = {_ME}", lambda e: _index(e).rows.where(F.col("pubkey") == _me()).orderBy(F.desc("created_at"), "id"))
+_register("index_by_pubkey", _INDEX + f"WHERE pubkey = {_ME}", lambda e: _index(e).by_pubkey(_AUTHOR_KEY))
 _register("index_by_range", _INDEX + f"WHERE created_at BETWEEN {AS_OF} - 86400 AND {AS_OF}", lambda e: _index(e).by_date_range(AS_OF - 86_400, AS_OF))
 _register("index_stats", """SELECT count(*) AS total_events, count(DISTINCT day) AS unique_files, count(DISTINCT pubkey) AS unique_pubkeys,
   min(created_at) AS earliest_event, max(created_at) AS latest_event FROM ev""", lambda e: _index(e).stats())
@@ -233,6 +241,98 @@ def _signature_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES["signature_check"] = _signature_check
 
 
+# Through sinks and sources and back.
+
+
+def _rows(e: DataFrame, *more: str) -> DataFrame:
+    return e.select("id", "pubkey", "created_at", "kind", expr.json_tags(F.col("tags")).alias("tags"), "content", "sig", *more)
+
+
+_ROWS = "SELECT id, pubkey, created_at, kind, to_json(tags) AS tags, content, sig FROM ev"
+
+
+def _through_parts(e: DataFrame) -> DataFrame:
+    """Events as gzip members of length-delimited messages, by day, and back."""
+    where = scratch(e.sparkSession)
+    write_pb_parts(e, where, per_file=20_000)
+    return _rows(read_pb_parts(e.sparkSession, where))
+
+
+def _through_store(e: DataFrame) -> DataFrame:
+    """Events put into the store twice, by their relays the second time: the latest versions by id."""
+    store = EventStore(e.sparkSession, scratch(e.sparkSession))
+    store.append(e.withColumn("indexed_at", F.timestamp_seconds(F.lit(1))).withColumn("relay_source", F.lit("")))
+    store.append(e.withColumn("indexed_at", F.timestamp_seconds(F.lit(2))))
+    return _rows(store.events(), "relay_source")
+
+
+def _through_lines(e: DataFrame) -> DataFrame:
+    """Events written as JSON lines, read and checked again (their ids are no hashes)."""
+    where = scratch(e.sparkSession)
+    write_json(e, where)
+    return _rows(valid_events(classify(read_lines(e.sparkSession, where), event_ids=False, signatures=False)))
+
+
+def _through_stream(e: DataFrame) -> DataFrame:
+    """Raw lines taken in as two micro-batches, the second of which holds all of the first: what the store and the tag table have."""
+    spark = e.sparkSession
+    lines = raw_lines(e).select("n", "value", F.lit("f").alias("file_path"), F.col("n").alias("block_start"))
+    where = scratch(spark)
+    job = Ingest(EventStore(spark, f"{where}/events"), EventIndex(spark, f"{where}/index"), f"{where}/tags", signatures=False)
+    job.batch(lines.where("n % 3 = 0").drop("n"), 0)
+    job.batch(lines.drop("n"), 1)
+    per_event = spark.read.parquet(f"{where}/tags").groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("n_tags"))
+    return job.store.read().select("id", "kind", "content").join(per_event, "id")
+
+
+def _through_index(e: DataFrame) -> DataFrame:
+    """An index table: every third event inserted, then all, then what it holds by day file."""
+    spark = e.sparkSession
+    index = EventIndex(spark, scratch(spark))
+    named = e.withColumn("file_path", F.concat(expr.date_key(F.col("created_at")), F.lit(".pb.gz")))
+    first, then = index.insert(named.where("n % 3 = 0"), 0), index.insert(named, 0)
+    counts = [F.lit(x).cast("long").alias(c) for c, x in zip(("added_first", "known_first", "added_then", "known_then"), (*first, *then), strict=True)]
+    return index.rows.groupBy("file_path").agg(F.count("*").alias("events")).select("file_path", "events", *counts)
+
+
+_register("pb_round_trip", _ROWS, _through_parts)
+_register("store_round_trip", _ROWS.replace("sig FROM", "sig, relay_source FROM"), _through_store)
+_register("lines_round_trip", _ROWS, _through_lines)
+_register("stream_round_trip", f"SELECT sha256({_CANONICAL}) AS id, kind, content, len(tags) AS n_tags FROM ev WHERE {_STATUS} = 'valid'", _through_stream)
+_register("index_round_trip", """SELECT strftime(day, '%Y_%m_%d') || '.pb.gz' AS file_path, count(*) AS events, (SELECT count(*) FROM ev WHERE n % 3 = 0) AS added_first,
+  0::BIGINT AS known_first, (SELECT count(*) FROM ev WHERE n % 3 <> 0) AS added_then, (SELECT count(*) FROM ev WHERE n % 3 = 0) AS known_then FROM ev GROUP BY 1""", _through_index)
+
+
+def _signed_profiles(e: DataFrame) -> DataFrame:
+    """One profile event per author, n being the author's lowest event, signed with a key of the author's; then all checks."""
+    authors = e.groupBy("pubkey").agg(F.min("n").alias("n"))
+
+    @F.pandas_udf("pubkey string, secret string")
+    def keys(seed: pd.Series) -> pd.DataFrame:
+        secrets = [int(x, 16) % (schnorr.N - 1) + 1 for x in seed]
+        return pd.DataFrame({"pubkey": [schnorr.sign(bytes(32), s)[0].hex() for s in secrets], "secret": [f"{s:064x}" for s in secrets]})
+
+    @F.pandas_udf("string")
+    def signatures(ids: pd.Series, secrets: pd.Series) -> pd.Series:
+        return pd.Series([schnorr.sign(bytes.fromhex(i), int(s, 16))[1].hex() for i, s in zip(ids, secrets, strict=True)], dtype=object)
+
+    keyed = authors.select("n", keys("pubkey").alias("k")).select("n", "k.*")
+    events = keyed.select("*", F.lit(1_758_960_000).cast("long").alias("created_at"), F.lit(0).alias("kind"), F.concat(F.lit("author "), F.col("n")).alias("content"))
+    events = events.withColumn("tags", F.array(F.array(F.lit("n"), F.col("n").cast("string")))).withColumn("id", expr.event_hash())
+    signed = events.withColumn("sig", signatures("id", "secret"))
+    # n % 3: 0 untouched, 1 the signature of another id, 2 one character of the signature changed.
+    other = F.when(F.col("n") % 3 == 1, signatures(F.sha2("id", 256), "secret"))
+    last = F.substring("sig", 128, 1)
+    spoilt = F.when(F.col("n") % 3 == 2, F.concat(F.substring("sig", 1, 127), F.when(last == "0", "1").otherwise("0")))
+    signed = signed.withColumn("sig", F.coalesce(other, spoilt, "sig"))
+    told = classify(signed.select("n", expr.event_json().alias("value")))
+    return told.select("n", "status", "category")
+
+
+_register("signature_valid", """SELECT n, CASE WHEN n % 3 = 0 THEN 'valid' ELSE 'invalid' END AS status,
+  CASE WHEN n % 3 = 0 THEN NULL ELSE 'InvalidSignature' END AS category FROM (SELECT pubkey, min(n) AS n FROM ev GROUP BY 1)""", _signed_profiles)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -1,7 +1,8 @@
 """The data source ``events_pb``: folders of ``YYYY_MM_DD.pb.gz`` files.
 
 Reading gives the event, ``file_path`` (the file's name) and ``position``; one partition per file.
-``mode`` is PERMISSIVE (broken records are passed over) or FAILFAST. Writing adds a gzip member per
+``mode`` is PERMISSIVE (broken records are passed over), REPORT (they, and the place where a file
+breaks off, are rows whose event is null) or FAILFAST. Writing adds a gzip member per
 task and day; the members reach the day's file only when the whole job commits. Options:
 ``compressionLevel`` (0 to 9, 6 by default). The folder has to be one that all machines mount.
 """
@@ -60,6 +61,11 @@ def event_files(paths: list[str], pattern: str = "*.pb.gz") -> list[str]:
     return out
 
 
+def batch_of(rows: list) -> pa.RecordBatch:
+    """Rows of the event, its file and its position as a batch."""
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+
 @dataclass
 class _File(InputPartition):
     path: str
@@ -69,7 +75,8 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = options["path"].split(",")
         self.pattern = options.get("pattern", "*.pb.gz")
-        self.strict = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
+        mode = options.get("mode", "PERMISSIVE").upper()
+        self.strict, self.report = mode == "FAILFAST", mode == "REPORT"
 
     def partitions(self) -> list[InputPartition]:
         return [_File(p) for p in event_files(self.paths, self.pattern)] or [_File("")]
@@ -79,17 +86,13 @@ class _Reader(DataSourceReader):
             return
         name, held = os.path.basename(partition.path), []
         with gzip.open(partition.path) as stream:
-            for place, event in wire.read_events(stream, strict=self.strict):
-                held.append((*event, name, place))
+            for place, event in wire.read_events(stream, strict=self.strict, report=self.report):
+                held.append((*(event or [None] * 7), name, place))
                 if len(held) == 4096:
-                    yield self._batch(held)
+                    yield batch_of(held)
                     held = []
         if held:
-            yield self._batch(held)
-
-    @staticmethod
-    def _batch(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+            yield batch_of(held)
 
 
 @dataclass

@@ -117,11 +117,11 @@ def frames(stream: BinaryIO) -> Iterator[bytes]:
         yield body
 
 
-def read_events(stream: BinaryIO, *, strict: bool = True) -> Iterator[tuple[int, Event]]:
+def read_events(stream: BinaryIO, *, strict: bool = True, report: bool = False) -> Iterator[tuple[int, Event | None]]:
     """(place, event) of a stream of framed events; ``strict`` raises on a broken one.
 
     Otherwise a broken message is passed over, and the stream is given up where framing or
-    compression breaks, as nothing after that can be found.
+    compression breaks, as nothing after that can be found. ``report`` gives None for either.
     """
     place = 0
     try:
@@ -131,10 +131,14 @@ def read_events(stream: BinaryIO, *, strict: bool = True) -> Iterator[tuple[int,
             except WireError:
                 if strict:
                     raise
+                if report:
+                    yield place, None
             place += 1
     except (WireError, EOFError, gzip.BadGzipFile, zlib.error):
         if strict:
             raise
+        if report:
+            yield place, None
 
 
 def compress(events: Iterator[Event], level: int = 6) -> bytes:

@@ -9,6 +9,7 @@ again under the same ids, and the store's readers take one version of each.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import first_wins, new_only
 from ..operators.index import EventIndex
-from ..operators.ingest import classify, quarantine, valid_events
-from ..operators.tags import flatten
+from ..operators.ingest import classify, quarantine, valid_events, validated
+from ..operators.tags import flatten, relay_hints
+from ..schema import EVENT_COLUMNS
 from ..sources.store import EventStore
 
 
@@ -77,24 +79,65 @@ class Ingest:
     event_ids: bool = True
     signatures: bool = True
 
+    #: Counts of the last batches by number, for monitoring: see ``health``.
+    metrics: list[dict] = field(default_factory=list)
+    most_metrics: int = 1000
+    #: Where relays that new events name are written, with how often; none by default.
+    relays_path: str | None = None
+
     def batch(self, lines: DataFrame, number: int = 0) -> None:
-        """Take in one micro-batch."""
-        told = classify(lines, event_ids=self.event_ids, signatures=self.signatures).persist()
+        """Take in one micro-batch.
+
+        Lines are parsed and checked by their form first; events that are not wanted or known already go before
+        hashes and signatures, the dear part, are looked at. Different events under one id are told apart after
+        that: the first valid one stays.
+        """
+        began = time.time()
+        parsed = classify(lines, event_ids=False, signatures=False).persist()
+        told = None
         try:
+            wanted = parsed.where("status = 'valid'").where(self.accept.condition())
+            # Exact copies share a verdict: one of them is looked at.
+            unknown = first_wins(new_only(wanted, self.index.rows), ["file_path", "block_start"], EVENT_COLUMNS)
+            told = validated(unknown, event_ids=self.event_ids, signatures=self.signatures).persist()
             if self.quarantine_path:
-                quarantine(told).write.mode("append").parquet(self.quarantine_path)
-            events = valid_events(told).where(self.accept.condition())
-            fresh = new_only(first_wins(events, ["file_path", "block_start", "created_at", "content"]), self.index.rows).persist()
+                rejected = quarantine(parsed).unionByName(quarantine(told))
+                rejected.write.mode("append").parquet(self.quarantine_path)
+            fresh = first_wins(valid_events(told), ["file_path", "block_start", "created_at", "content"]).persist()
             try:
-                if not fresh.isEmpty():
+                added = fresh.count()
+                if added:
                     self.store.append(fresh.drop("file_path", "block_start"))
                     if self.tags_path:
                         flatten(fresh).write.mode("append").parquet(self.tags_path)
+                    if self.relays_path:
+                        relay_hints(fresh).write.mode("append").parquet(self.relays_path)
                     self.index.insert(fresh)
             finally:
                 fresh.unpersist()
+            counts = {r.status: r["count"] for r in parsed.groupBy("status").count().collect()}
+            refused = told.where("status = 'invalid'").count()
+            one = {"batch": number, "lines": sum(counts.values()), "refused": refused, "added": added, "seconds": round(time.time() - began, 3)}
+            self.metrics.append(one | {s: counts.get(s, 0) for s in ("filtered", "skipped", "invalid")})
+            del self.metrics[: -self.most_metrics]
         finally:
-            told.unpersist()
+            parsed.unpersist()
+            if told is not None:
+                told.unpersist()
+
+    def health(self, query: StreamingQuery | None = None) -> dict:
+        """Whether the stream runs, what failed, and sums over the batches that ``metrics`` holds."""
+        sums = {k: sum(m[k] for m in self.metrics) for k in ("lines", "filtered", "skipped", "invalid", "refused", "added")}
+        failed = query.exception() if query is not None else None
+        return {"active": query.isActive if query is not None else None, "error": str(failed) if failed else None, "batches": len(self.metrics), **sums}
+
+    @staticmethod
+    def stop(query: StreamingQuery, seconds: int = 60) -> None:
+        """End after the batch that runs now, or after so many seconds; what is not indexed is taken in again at the next start."""
+        until = time.time() + seconds
+        while query.isActive and query.status["isTriggerActive"] and time.time() < until:
+            time.sleep(0.1)
+        query.stop()
 
     def start(self, lines: DataFrame, checkpoint: str, *, every: str | None = "30 seconds") -> StreamingQuery:
         """Run until stopped, or, with ``every=None``, over what is there now."""
