@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,29 +10,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests on one machine) a folder of our own is made.
-    """
-    sc = spark.sparkContext
-    set_by_cluster = sc.getConf().get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    if not hasattr(sc, "_veldt_shared"):
-        sc._veldt_shared = "file://" + tempfile.mkdtemp(prefix="veldt-")
-    return sc._veldt_shared
-
-
 def cut(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which ends its lineage."""
+    """Write ``df`` to the folder that driver and executors share and read it back, which ends its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veldt-{uuid.uuid4().hex}"
+    path = scratch(spark)
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -44,15 +30,21 @@ def cut(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     return out
 
 
-def drop_cut(df: DataFrame | None) -> None:
-    """Delete a table that ``cut`` wrote and nothing will read again."""
-    path = getattr(df, "_veldt_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def drop_cut(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` wrote and nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_veldt_path", None)
+        if path is not None:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``cut``, after which the table that ``df`` was made of goes."""
+    out = cut(df)
+    drop_cut(df)
+    return out
 
 
 #: About so many bytes of text are looked at together; arrays made for them are some dozens of times as large.

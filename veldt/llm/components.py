@@ -31,7 +31,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` has columns u and v, u != v; returns node and component (its least node).
 
-    Nodes without links are not in the result.
+    Nodes without links are not in the result. ``settle`` or ``drop_cut`` deletes what it is made of.
     """
     here = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
@@ -44,4 +44,6 @@ def components(edges: DataFrame) -> DataFrame:
         drop_cut(here)
         here = then
     links = here.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return links.union(here.select(F.col("v"), F.col("v")).distinct())
+    out = links.union(here.select(F.col("v"), F.col("v")).distinct())
+    out._veldt_path = here._veldt_path
+    return out

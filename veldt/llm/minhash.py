@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import changes, cut, drop_cut, mix64, parts, texts_of, whole_groups
+from .common import changes, cut, drop_cut, mix64, parts, settle, texts_of, whole_groups
 from .components import components
 from .shingles import Shingles
 
@@ -286,10 +286,13 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     own = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     ends = links.join(own("u"), "u", "left").join(own("v"), "v", "left")
     edges = ends.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u != v").distinct()
-    above = components(edges).select(F.col("node").alias("of"), F.col("component").alias("to"))
+    more = settle(components(edges))
+    above = more.select(F.col("node").alias("of"), F.col("component").alias("to"))
     carried = found.join(above, F.col("component") == F.col("of"), "left").select("node", F.coalesce("to", "component").alias("component"))
     fresh = above.join(found, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("node"), F.col("to").alias("component"))
-    return cut(carried.union(fresh))
+    out = cut(carried.union(fresh))
+    drop_cut(found, more)
+    return out
 
 
 def _groups(docs: DataFrame, threshold: float, size: int, id_col: str, text_col: str, common: float, prior: int) -> DataFrame:
@@ -313,7 +316,7 @@ def _groups(docs: DataFrame, threshold: float, size: int, id_col: str, text_col:
 
     pairs = posts.where("rep != lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
     links = cut(verify(pairs, texts, idf, threshold, size))
-    found = cut(components(links))
+    found = settle(components(links))
     for last in (False, True):
         members = cut(open_members(posts, found))
         sampled = members.join(reps, "rep")
@@ -321,14 +324,16 @@ def _groups(docs: DataFrame, threshold: float, size: int, id_col: str, text_col:
             who = _compare_blocks(sampled, AGREE, "who").select(F.col("u").alias("doc_id"))
             wide = cut(wide_samples(texts.join(who, "doc_id", "left_semi"), idf, size))
             more = cut(_compare_blocks(members.join(wide, "rep"), WIDE_AGREE, "all"))
+            drop_cut(wide)
         else:
             more = cut(_compare_blocks(sampled, NEAR_AGREE, "best"))
-        if more.isEmpty():
-            continue
-        new = cut(verify(more, texts, idf, threshold, size))
-        if not new.isEmpty():
-            found = _joined(found, new)
-    drop_cut(texts)
+        if not more.isEmpty():
+            new = cut(verify(more, texts, idf, threshold, size))
+            if not new.isEmpty():
+                found = _joined(found, new)
+            drop_cut(new)
+        drop_cut(members, more)
+    drop_cut(reps, posts, texts, links)
     label = classes.join(found, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("comp"), "first")
     leads = label.groupBy(F.col("comp").alias("_comp")).agg(F.min("first").alias("_lead"))
     label = label.join(leads, F.col("comp") == F.col("_comp")).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_lead")
