@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt.llm import minhash, packing, quality, queries, secrets, toxicity
-from veldt.llm.common import cut
+from veldt.llm.common import cut, drop_cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -63,7 +63,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each on what the one before wrote to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = cut(docs)
+            made = cut(made)
+            drop_cut(docs)
+        docs = made
     return docs
