@@ -14,8 +14,14 @@ def _sha(prefix: str, c: Column) -> Column:
 
 
 def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, pubkey, created_at, kind, tags, content, sig, relay_source, n (the row's number)."""
+    """id, pubkey, created_at, kind, tags, content, sig, relay_source, n (the row's number).
+
+    Rows of fewer files than there are cores are dealt out first: making events of them is the dear part.
+    """
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) < cores:
+        rows = rows.repartition(cores)
     kind = F.lit(None).cast("int")
     for name, number in KINDS.items():
         kind = F.when(F.col("event_type") == name, number).otherwise(kind)
