@@ -1,7 +1,9 @@
 """Operators that read one text at a time, against plain forms and on awkward rows."""
 
 import hashlib
+import html.parser
 import math
+import os
 import random
 import re
 import string
@@ -567,6 +569,64 @@ def test_pages(spark):
     assert [r.text for r in got if r.page_id in (2, 3)] == ["", ""] and len(got) == 6
 
 
+class PlainReader(html.parser.HTMLParser):
+    """The blocks inside the article element of a page, without the asides, adverts and forms in it."""
+
+    GONE = frozenset("script style aside nav form header footer title".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.held, self.inside, self.gone = [], [], False, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.BLOCKS:
+            self.cut()
+        elif tag == "br":
+            self.held.append(" ")
+        self.inside |= tag == "article"
+        if tag in self.GONE or tag == "div" and (self.gone or dict(attrs).get("class")):
+            self.gone.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCKS:
+            self.cut()
+        if self.gone and self.gone[-1] == tag:
+            self.gone.pop()
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside and not self.gone:
+            self.held.append(data)
+
+    def cut(self):
+        if text := " ".join("".join(self.held).split()):
+            self.blocks.append(text)
+        self.held = []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are absent")
+def test_given_pages_are_their_article(spark):
+    got = {r.page_id: r for r in html_text.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    wrong = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        reader = PlainReader()
+        reader.feed(r.html)
+        reader.close()
+        reader.cut()
+        wrong += got[r.page_id].text != "\n".join(reader.blocks)
+    assert len(got) == 250 and wrong == 0
+
+
+def test_bare_pages(spark):
+    """Text without any element around it, however short or long, is the text of its page."""
+    long = "Words, and more words. " * 9000
+    pages = ["<p>One plain sentence, of an article.</p>", f"<p>{long}</p>", "<h1>A title</h1><p>Some words, here.</p><p>And some more of them, there.</p>", "Just some words, without any element at all."]
+    got = html_text.extract(spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {
+        0: "One plain sentence, of an article.", 1: long.strip(), 2: "A title\nSome words, here.\nAnd some more of them, there.", 3: pages[3],
+    }
+
+
 def test_decoding_is_the_best_path():
     import itertools
 
