@@ -8,6 +8,9 @@ is JVM-side but the signature check, which sees only rows that passed all before
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,11 @@ def _variant_type(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
+def _is(v: Column, name: str) -> Column:
+    """Whether a variant is there and of a type that has no parts."""
+    return F.coalesce(F.schema_of_variant(v) == name, F.lit(False))
+
+
 def _json_type(v: Column) -> Column:
     """The JSON name of a variant's type."""
     kind = _variant_type(v)
@@ -64,7 +72,8 @@ def parse(lines: DataFrame, value: str = "value") -> DataFrame:
         *[field(c, "string").alias(c) for c in ("id", "pubkey", "content", "sig")],
         *[field(c, "bigint").alias(c) for c in ("created_at", "kind")],
         field("tags", "array<variant>").alias("_tags"),
-        F.array(*[_variant_type(field(c, "variant")) for c in ("id", "pubkey", "content", "sig", "created_at", "kind")]).alias("_types"),
+        reduce(and_, [_is(field(c, "variant"), "STRING") for c in ("id", "pubkey", "content", "sig")]).alias("_strings"),
+        *[_is(field(c, "variant"), "BIGINT").alias(f"_whole_{c}") for c in ("created_at", "kind")],
     )
     places = F.flatten(
         F.transform(
@@ -72,23 +81,22 @@ def parse(lines: DataFrame, value: str = "value") -> DataFrame:
             lambda t, i: F.coalesce(
                 F.transform(
                     F.try_variant_get(t, "$", "array<variant>"),
-                    lambda x, j: F.when(_variant_type(x) != "STRING", F.struct(i.alias("i"), j.alias("j"), _json_type(x).alias("type"))),
+                    lambda x, j: F.when(~_is(x, "STRING"), F.struct(i.alias("i"), j.alias("j"), _json_type(x).alias("type"))),
                 ),
                 F.array(),
             ),
         )
     )
-    read = [*lines.columns, "_broken", "id", "pubkey", "content", "sig", "created_at", "kind", "_types"]
+    read = [*lines.columns, "_broken", "id", "pubkey", "content", "sig", "created_at", "kind", "_strings", "_whole_created_at", "_whole_kind"]
     rows = expr.settled(
         rows,
         read,
         F.get(F.filter(places, lambda x: x.isNotNull()), F.lit(0)).alias("_bad"),
         F.transform("_tags", lambda t: F.try_variant_get(t, "$", "array<string>")).alias("tags"),
     )
-    whole = F.get("_types", F.lit(5)) == "BIGINT"
-    strings = F.forall(F.slice("_types", 1, 4), lambda t: F.coalesce(t == "STRING", F.lit(False)))
+    whole = F.col("_whole_kind")
     shaped = F.col("tags").isNotNull() & ~F.exists("tags", lambda t: t.isNull())
-    complete = strings & F.coalesce((F.get("_types", F.lit(4)) == "BIGINT") & whole, F.lit(False)) & F.coalesce(shaped, F.lit(False))
+    complete = F.col("_strings") & F.col("_whole_created_at") & whole & F.coalesce(shaped, F.lit(False))
     range_said = F.concat(
         F.lit("parse_error: Conversion failed: Event kind "), F.col("kind").cast("string"), F.lit(" is out of valid range (0-65535)")
     )
