@@ -222,6 +222,46 @@ def test_buckets_of_many_near_copies(spark, monkeypatch):
     assert all(got[i] == got[c] for i, c in true.items())
 
 
+def test_work_on_near_copies_grows_with_their_number(spark, monkeypatch):
+    """Three times as many members of a group around the threshold: no table has nine times the rows, no link is lost."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    plain_cut, rows = minhash.cut, []
+
+    def counted(df):
+        out = plain_cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "cut", counted)
+    most = []
+    for n in (100, 300):
+        r = random.Random(21)
+        word = lambda: "".join(r.choice(string.ascii_lowercase) for _ in range(5))  # noqa: B023, E731
+        base, texts = [word() for _ in range(200)], []
+        for i in range(n):
+            # One in five is a changed copy of another member, far from the middle of the group.
+            own = list(texts[r.randrange(len(texts))] if i % 5 == 4 else base)
+            for _ in range(1 if i % 5 == 4 else r.choice([1, 2, 3, 6])):
+                own[r.randrange(200)] = word()
+            texts.append(own)
+        texts = [" ".join(t) for t in texts]
+        shingles = [plain_shingles(t) for t in texts]
+        w = plain_weights(shingles, minhash.COMMON, minhash.PRIOR)
+        total = [sum(w[x] for x in own) for own in shingles]
+        links = []
+        for i, j in itertools.combinations(range(n), 2):
+            shared = sum(w[x] for x in shingles[i].keys() & shingles[j].keys())
+            if shared / (total[i] + total[j] - shared) >= 0.8 - 1e-12:
+                links.append((i, j))
+        rows.clear()
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        got = {x.doc_id: x.class_id for x in minhash.near_duplicates(df).collect()}
+        assert got == find_components(range(n), links)
+        assert 10 < len({*got.values()}) < 0.8 * n
+        most.append(max(rows))
+    assert most[1] < 5 * most[0]
+
+
 def test_samples_estimate_weighted_jaccard():
     from veldt.llm.shingles import Shingles
 

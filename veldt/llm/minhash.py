@@ -10,18 +10,16 @@ what driver and tasks hold whatever the corpus; it is at most about N times the
 
 Improved consistent weighted sampling (Ioffe) gives each text ``SAMPLES`` samples; two texts share
 one with a probability of their weighted Jaccard similarity. Bands of samples are buckets. Texts with
-equal shingles are one from the start. Then, round by round, bucket members are compared exactly:
+equal shingles are one from the start. Then bucket members are compared exactly, in two rounds:
 
-1. every member of a bucket with its first member (least id);
-2. where a bucket still holds more than one component: members of the minor components with the
-   member of each other component that their samples say is nearest, if near enough;
-3. all remaining pairs of the bucket across components, unless samples rule them out: the texts that
-   have a partner by ``AGREE`` of their samples get ``WIDE`` samples, and pairs that agree in
-   ``WIDE_AGREE`` of those are compared.
+1. every member of a bucket with its lead, the member that meets most others in all its buckets;
+2. of the members of a lead's buckets, the pairs across components that can be alike by what sets each of
+   them apart from the lead (``differences``, ``candidates``). No such pair is left out: weighted Jaccard
+   distances are bounded by sums of differences, and what two texts must share of them is looked up.
 
-Buckets are compared in blocks, so no task gathers one; pairs inside a component are never made, so a
-group of n near copies costs about n comparisons; no bucket is capped. At a similarity of 0.8 a pair
-misses all bands with a chance of 2e-4, and is ruled out by samples in round 3 with 5e-5.
+Rows of round 2 are members and their differences, so their number grows with that of the members of buckets that
+are open after round 1, not with pairs; members that differ from their lead each in its own way meet nowhere.
+No bucket is capped. At a similarity of 0.8 a pair misses all bands with a chance of 2e-4, which is the only one.
 
 Result: one row per row: doc_id, class_id (least id of its group) and kept (the group's leader).
 Texts are told apart by a hash of id and text, so different texts under one id, null too, are compared
@@ -40,17 +38,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import changes, cut, drop_cut, mix64, parts, settle, texts_of, whole_groups
+from .common import cut, drop_cut, mix64, parts, settle, texts_of
 from .components import components
 from .shingles import Shingles
 
 CELL_BITS = 17
 COMMON, PRIOR, LEAST_WEIGHT = 0.1, 1000, 0.05
 SAMPLES, ROWS = 64, 4
-AGREE, NEAR_AGREE = 38, 46
-WIDE, WIDE_AGREE = 512, 374
+#: The most samples that can be drawn.
+WIDE = 512
+#: The differences of so many texts are handed on at a time.
 BLOCK = 512
-GROUP = ("bucket", "i", "j")
+EPSILON = 1e-6
 
 _draw = np.random.default_rng(20)
 _TABLE = 4096
@@ -88,15 +87,15 @@ def count_cells(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def idf_of(counted: DataFrame, common: float = COMMON, prior: int = PRIOR) -> np.ndarray:
-    """The weight of each cell, to hundredths (a byte each)."""
+def idf_of(counted: DataFrame, common: float = COMMON, prior: int = PRIOR) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of each cell, to hundredths, and how common it is, to eighths of a doubling (a byte each)."""
     n, texts = np.zeros(2 << CELL_BITS), 0
     for batch in counted.toArrow().to_batches():
         cell, number = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         texts += int(number[cell < 0].sum())
         n[cell[cell >= 0]] = number[cell >= 0]
     weight = np.log((texts + prior) / np.maximum(n, 1)) / np.log(1 / common) if texts else np.ones(len(n))
-    return np.round(100 * np.clip(weight, LEAST_WEIGHT, 1)).astype(np.uint8)
+    return np.round(100 * np.clip(weight, LEAST_WEIGHT, 1)).astype(np.uint8), np.minimum(8 * np.log2(n + 1), 255).astype(np.uint8)
 
 
 def weights(s: Shingles, idf: np.ndarray) -> np.ndarray:
@@ -193,87 +192,91 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
     return both.mapInArrow(run, f"u {id_type}, v {id_type}, similarity double")
 
 
-def wide_samples(texts: DataFrame, idf: np.ndarray, size: int) -> DataFrame:
-    """rep and WIDE samples of texts that have shingles."""
-    id_type = dict(texts.dtypes)["doc_id"]
+def differences(stars: DataFrame, texts: DataFrame, idf: np.ndarray, rank: np.ndarray, threshold: float, size: int) -> DataFrame:
+    """What sets each text (v) of a star apart from the star's lead (u), as far as a pair of members can need it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, "text"):
-            made = sample(Shingles(texts_of(part, "text"), size), idf, WIDE)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * WIDE), pa.array(made.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), flat], ["rep", "samples"])
-
-    return texts.select("doc_id", "text").mapInArrow(run, f"rep {id_type}, samples array<int>")
-
-
-def _compare_blocks(rows: DataFrame, agree_in: int, want: str) -> DataFrame:
-    """Pairs across components whose samples agree, of a block of members with one of minor members.
-
-    ``want`` is all (u, v of each pair), best (for each minor member the nearest one of the main
-    component and the nearest one of the others) or who (the ids that have a partner, as u). A pair
-    that shares several buckets is looked at in that of its first band only.
+    One row per element (a shingle that one of the two has more often): lead, rep, comp, element (hash, lowest
+    bit: more often in the lead), slack (the text's share of the bound less the weight of its differences), rest
+    (the weight of this element and those after it), far (not alike the lead) and first (see ``candidates``).
     """
-    id_type = dict(rows.dtypes)["rep"]
+    id_type = dict(stars.dtypes)["u"]
+    one = stars.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+    both = one.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").select("u", "v", "comp", "a", "b")
+    share = (1 - threshold) / (1 + threshold)
+    names = ["lead", "rep", "comp", "element", "slack", "rest", "far", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, GROUP):
-            rep, comp, main, lead, band = (table.column(k).to_numpy() for k in ("rep", "comp", "main", "lead", "band"))
-            minor = table.column("minor").to_numpy(zero_copy_only=False).astype(bool)
-            samples = table.column("samples").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
-            cuts = np.flatnonzero(np.append(True, changes(table, GROUP))).tolist() + [len(rep)]
-            us, vs = [], []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                members, minors = np.flatnonzero(~minor[a:b]) + a, np.flatnonzero(minor[a:b]) + a
-                for at in range(0, len(minors) if len(members) else 0, 32):
-                    own = minors[at : at + 32]
-                    equal = samples[own][:, None, :] == samples[members][None, :, :]
-                    agree = equal.sum(axis=2)
-                    open_ = (agree >= agree_in) & (comp[own][:, None] != comp[members][None, :])
-                    # Pairs of minors once; pairs with the first member were compared before.
-                    open_ &= (comp[members] == main[a])[None, :] | (rep[members][None, :] < rep[own][:, None])
-                    open_ &= (rep[members] != lead[a])[None, :] & (rep[own] != lead[a])[:, None]
-                    i, j = np.nonzero(open_)
-                    first = equal[i, j, :SAMPLES].reshape(-1, SAMPLES // ROWS, ROWS).all(axis=2).argmax(axis=1) == band[a]
-                    i, j = i[first], j[first]
-                    if want == "best" and len(i):
-                        in_main = comp[members][j] == main[a]
-                        order = np.lexsort((rep[members][j], -agree[i, j], in_main, i))
-                        i, j, in_main = i[order], j[order], in_main[order]
-                        new = np.append(True, (i[1:] != i[:-1]) | (in_main[1:] != in_main[:-1]))
-                        i, j = i[new], j[new]
-                    if want == "who":
-                        us += [rep[members][np.unique(j)], rep[own][np.unique(i)]]
-                    else:
-                        us.append(rep[members][j])
-                        vs.append(rep[own][i])
-            if us:
-                told = [pa.array(np.concatenate(x)) for x in ((us,) if want == "who" else (us, vs))]
-                yield pa.RecordBatch.from_arrays(told, ["u", "v"][: len(told)])
-
-    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "minor")
-    return dealt.mapInArrow(run, f"u {id_type}" + (f", v {id_type}" if want != "who" else "")).distinct()
-
-
-def open_members(posts: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, dealt into pairs of blocks.
-
-    ``posts`` has bucket, band, rep, lead, n; ``found`` has node, component. Buckets of two were compared.
+        for part in parts(batches, "b"):
+            u, v, comp, a, b = (c.to_pylist() for c in part.columns)
+            place: dict = {}
+            for i, text in zip(u, a, strict=True):
+                place.setdefault(i, (len(place), text))
+            s = Shingles([t for _, t in place.values()] + b, size)
+            w = weights(s, idf)
+            cells = _cells(s.hashes)
+            n = np.minimum(rank[cells[0]], rank[cells[1]]).astype(np.int16)
+            for at in range(0, len(v), BLOCK):
+                made = []
+                for k in range(at, min(at + BLOCK, len(v))):
+                    (pa_, pb), (qa, qb) = (s.bounds[x : x + 2] for x in (place[u[k]][0], len(place) + k))
+                    hashes = np.concatenate([s.hashes[pa_:pb], s.hashes[qa:qb]])
+                    signed = np.concatenate([-w[pa_:pb], w[qa:qb]])
+                    often = np.concatenate([n[pa_:pb], n[qa:qb]])
+                    order = np.argsort(hashes, kind="stable")
+                    hashes, often = hashes[order], often[order]
+                    new = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+                    more = np.add.reduceat(signed[order], new)
+                    some = np.abs(more) > 1e-9
+                    hashes, often, more = hashes[new][some], often[new][some], more[some]
+                    lacks = more < 0
+                    element = (hashes & ~np.uint64(1) | lacks.astype(np.uint64)).view(np.int64)
+                    # Rare ones first: what few texts have, then what many have but this one.
+                    order = np.lexsort((element, np.where(lacks, 512 - often, often)))
+                    element, weight = element[order], np.abs(more[order])
+                    rest = np.cumsum(weight[::-1])[::-1]
+                    lead_share = share * w[pa_:pb].sum()
+                    slack = share * w[qa:qb].sum() - weight.sum()
+                    far = bool(slack + lead_share < EPSILON)
+                    first = rest >= (-slack if far else (lead_share - slack) / 2) - EPSILON
+                    keep = np.flatnonzero(rest >= (-slack - lead_share) / 2 - EPSILON if far else first)
+                    made.append((k, element[keep], rest[keep], first[keep], slack, far))
+                counts = [len(m[1]) for m in made]
+                own = pa.array(np.repeat([m[0] for m in made], counts))
+                each = lambda x: np.repeat([m[x] for m in made], counts)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(x).take(own) for x in range(3)]
+                    + [pa.array(np.concatenate([m[1] for m in made])), pa.array(each(4).astype(float)), pa.array(np.concatenate([m[2] for m in made]))]
+                    + [pa.array(each(5).astype(bool)), pa.array(np.concatenate([m[3] for m in made]))],
+                    names,
+                )
+
+    kinds = [id_type] * 3 + ["bigint", "double", "double", "boolean", "boolean"]
+    return both.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+
+
+def candidates(told: DataFrame) -> DataFrame:
+    """The pairs (u, v) of one star and different components that can reach the threshold, by ``differences``.
+
+    Two texts x and y are at a distance (the sum of |weight in x - weight in y|) of that of each to the lead, less
+    twice what their differences share, and reach the threshold if it is at most the sum of their shares. So what
+    they share weighs at least -(slack x + slack y) / 2; where that is not above 0, both are alike the lead and one
+    component. The first element that they share, in an order alike in all texts, has a ``rest`` of that weight in
+    both. Of a pair the one with more slack is looked up by the elements that come ``first``: after them less is
+    left than it must share with any text of less slack. The other is far from the lead, and looks up all.
     """
-    comp = F.coalesce("component", "rep").alias("comp")
-    members = posts.where("n > 2").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", "lead", comp)
-    per = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    state = per.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("n"), F.count("*").alias("comps")).where("comps > 1")
-    state = state.select("bucket", F.col("m.comp").alias("main"), F.ceil(F.col("n") / BLOCK).alias("nj"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK).alias("ni"))
-    here = members.join(state, "bucket")
+    rows = lambda which, end: told.where(which).select("lead", "element", *[F.col(c).alias(c + end) for c in ("rep", "comp", "slack", "rest")])
+    met = rows("far", "_x").join(rows("first", "_y"), ["lead", "element"])
+    order = "slack_x < slack_y OR (slack_x = slack_y AND rep_x < rep_y)"
+    enough = F.least("rest_x", "rest_y") >= -(F.col("slack_x") + F.col("slack_y")) / 2 - EPSILON
+    met = met.where((F.col("comp_x") != F.col("comp_y")) & F.expr(order) & enough)
+    return met.select(F.least("rep_x", "rep_y").alias("u"), F.greatest("rep_x", "rep_y").alias("v")).distinct()
 
-    def spread(own: str, other: str, minor: bool) -> DataFrame:
-        block = F.pmod(F.xxhash64("rep"), F.col(f"n{own}")).alias(own)
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n{other}") - 1)).alias(other)
-        rows = here.where(F.col("comp") != F.col("main")) if minor else here
-        placed = rows.select("bucket", "band", "rep", "comp", "main", "lead", block, every)
-        return placed.select("bucket", "i", "j", F.lit(int(minor)).alias("minor"), "band", "rep", "comp", "main", "lead")
 
-    return spread("j", "i", False).union(spread("i", "j", True))
+def open_stars(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """u, v, comp: the pairs of a lead and a member, of leads whose members are of several components."""
+    here = pairs.join(found, F.col("v") == F.col("node"), "left").select("u", "v", F.coalesce("component", "v").alias("comp"))
+    several = here.groupBy("u").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least != most")
+    return here.join(several.select("u"), "u", "left_semi")
 
 
 def _uid(id_col: str, text_col: str) -> Column:
@@ -298,7 +301,7 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
 def _groups(docs: DataFrame, threshold: float, size: int, id_col: str, text_col: str, common: float, prior: int) -> DataFrame:
     """doc_id, uid, class_id, kept for each row of ``docs``. Inside, a text goes by its ``uid``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), _uid(id_col, text_col).alias("uid"), F.col(text_col).alias("text"))
-    idf = idf_of(count_cells(rows, size), common, prior)
+    idf, rank = idf_of(count_cells(rows, size), common, prior)
     signed = cut(signatures(rows, idf, size))
     key = ["k1", "k2"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
@@ -307,33 +310,26 @@ def _groups(docs: DataFrame, threshold: float, size: int, id_col: str, text_col:
     reps = cut(signed.join(classes, [*same, signed["uid"] == classes["rep"]]).select("rep", "samples").dropDuplicates(["rep"]))
 
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("samples", F.lit(ROWS * b + k)) for k in range(ROWS)]) for b in range(SAMPLES // ROWS)])
-    posted = reps.select("rep", F.posexplode(bands).alias("band", "bucket"))
-    shared = posted.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    posts = cut(posted.join(shared, "bucket").select("bucket", "band", "rep", "lead", "n"))
-    involved = posts.select(F.col("rep").alias("doc_id")).distinct()
+    posted = reps.select("rep", F.explode(bands).alias("bucket"))
+    shared = posted.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    posts = cut(posted.join(shared, "bucket").select("bucket", "rep", "n"))
+    involved = posts.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("met"))
     named = rows.where("text is not null").select(F.col("uid").alias("doc_id"), "text")
-    texts = cut(named.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = cut(named.join(involved, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"]))
 
-    pairs = posts.where("rep != lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
-    links = cut(verify(pairs, texts, idf, threshold, size))
+    # The member that meets most others in all its buckets leads: it is about the middle of its group.
+    leads = posts.join(involved, F.col("rep") == F.col("node")).groupBy("bucket").agg(F.max(F.struct("met", "rep")).alias("most"))
+    led = posts.join(leads.select("bucket", F.col("most.rep").alias("u")), "bucket").where("rep != u")
+    pairs = cut(led.select("u", F.col("rep").alias("v")).distinct())
+    links = cut(verify(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), texts, idf, threshold, size))
     found = settle(components(links))
-    for last in (False, True):
-        members = cut(open_members(posts, found))
-        sampled = members.join(reps, "rep")
-        if last:
-            who = _compare_blocks(sampled, AGREE, "who").select(F.col("u").alias("doc_id"))
-            wide = cut(wide_samples(texts.join(who, "doc_id", "left_semi"), idf, size))
-            more = cut(_compare_blocks(members.join(wide, "rep"), WIDE_AGREE, "all"))
-            drop_cut(wide)
-        else:
-            more = cut(_compare_blocks(sampled, NEAR_AGREE, "best"))
-        if not more.isEmpty():
-            new = cut(verify(more, texts, idf, threshold, size))
-            if not new.isEmpty():
-                found = _joined(found, new)
-            drop_cut(new)
-        drop_cut(members, more)
-    drop_cut(reps, posts, texts, links)
+    more = cut(candidates(differences(open_stars(pairs, found), texts, idf, rank, threshold, size)))
+    if not more.isEmpty():
+        new = cut(verify(more, texts, idf, threshold, size))
+        if not new.isEmpty():
+            found = _joined(found, new)
+        drop_cut(new)
+    drop_cut(reps, posts, pairs, texts, links, more)
     label = classes.join(found, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("comp"), "first")
     leads = label.groupBy(F.col("comp").alias("_comp")).agg(F.min("first").alias("_lead"))
     label = label.join(leads, F.col("comp") == F.col("_comp")).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_lead")
